@@ -1,0 +1 @@
+"""factweave.streaming"""
