@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factweave.llm import sql, topn
+from factweave.functions.text import category_key
+from factweave.llm import mix, sample, sql, topn
+from factweave.session import cut
 from factweave.sources.tables import table
 
 
@@ -17,6 +21,64 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-QUERIES = {"p1_found": p1_found}
+def _sampling(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Records, leaves, targets and quotas of the three fields."""
+    docs, examples = table(spark, folder, "documents"), table(spark, folder, "benchmark_examples")
+    records = reduce(
+        DataFrame.unionByName,
+        (
+            sample.records_of(docs, "doc_id", "documents.domain", F.col("domain"), F.col("source")),
+            sample.records_of(examples, "example_id", "benchmark_examples.query_type", F.col("query_type"), F.col("dataset")),
+            sample.records_of(examples, "example_id", "benchmark_examples.dataset", F.col("dataset"), F.col("query_type")),
+        ),
+    )
+    records = cut(records)
+    leaves = records.groupBy("field_name", "category", "leaf").agg(F.count(F.lit(1)).alias("n"))
+    pool = records.groupBy("field_name").agg(F.count(F.lit(1)).alias("pool"))
+    named = table(spark, folder, "sample_targets").withColumnRenamed("category", "named").withColumn("category", category_key(F.col("named")))
+    quotas = sample.allocate(leaves, named, pool)
+    return records, leaves, named, quotas
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, named, quotas = _sampling(spark, folder)
+    short = quotas.where(F.col("targeted") & (F.col("unmet") > 0))
+    return named.join(short, ["field_name", "category"], "left_semi").select("field_name", F.col("named").alias("category"))
+
+
+def p4_report(spark: SparkSession, folder: str) -> DataFrame:
+    _, _, _, quotas = _sampling(spark, folder)
+    return quotas.select("field_name", "category", "need", "available", "quota", "unmet")
+
+
+def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
+    records, leaves, _, quotas = _sampling(spark, folder)
+    return sample.draw(records, leaves, quotas).select("field_name", "category", "record_id")
+
+
+def _mixing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
+    """Documents with tokens, targets, and the budget: all documents' tokens counted once."""
+    docs = table(spark, folder, "documents").withColumn("source_key", category_key(F.col("source")))
+    sized = cut(mix.with_tokens(docs, ["doc_id", "source_key"], "text"))
+    return sized, mix.target_table(table(spark, folder, "mix_targets")), sized.agg(F.sum("tokens")).first()[0] or 0
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets, budget = _mixing(spark, folder)
+    return mix.shares(sized, targets, budget).where("short").select("source")
+
+
+def p7_report(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets, budget = _mixing(spark, folder)
+    return mix.shares(sized, targets, budget)
+
+
+def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
+    sized, targets, budget = _mixing(spark, folder)
+    kept = mix.truncate(mix.queue(sized, targets), budget)
+    return kept.sort("finish", "source", "doc_id", "round").select("doc_id", "source", "round", "tokens")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
-SQL: dict[str, str] = {"p1_found": sql.P1_FOUND}
+SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND}
