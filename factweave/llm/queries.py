@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import category_key
-from factweave.llm import mix, sample, sql, topn
+from factweave.llm import leak, mix, sample, sql, topn
 from factweave.session import cut
 from factweave.sources.tables import table
 
@@ -79,6 +79,14 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
     return kept.sort("finish", "source", "doc_id", "round").select("doc_id", "source", "round", "tokens")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p6_leaks(spark, folder).where(F.col("equal_windows") > 0).select("doc_id", "item_id")
+
+
+def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    return leak.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
 SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND}
