@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import category_key
-from factweave.llm import leak, mix, sample, sql, topn
+from factweave.llm import leak, mix, neardup, sample, sql, topn
 from factweave.session import cut
 from factweave.sources.tables import table
 
@@ -21,6 +21,18 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Members and classes of the passages, cut before they are read several times."""
+    each = cut(neardup.classes(neardup.passage_text(table(spark, folder, "passages")), "passage_id", "text"))
+    return each.select("passage_id", "class_id"), each.drop("passage_id").dropDuplicates(["class_id"])
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    members, found = _copies(spark, folder)
+    pairs = neardup.member_pairs(members, neardup.class_pairs(found, 0.7), "passage_id")
+    return pairs.select(F.col("a").alias("passage_a"), F.col("b").alias("passage_b"))
+
+
 def _sampling(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Records, leaves, targets and quotas of the three fields."""
     docs, examples = table(spark, folder, "documents"), table(spark, folder, "benchmark_examples")
@@ -87,6 +99,6 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leak.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
 
 SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND}
