@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factweave.functions.text import category_key
-from factweave.llm import leak, mix, neardup, sample, sql, topn
+from factweave.llm import language, leak, mix, neardup, pairs, sample, sentences, sql, topn
 from factweave.session import cut
 from factweave.sources.tables import table
 
@@ -99,6 +99,28 @@ def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
     return leak.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix}
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    passages = table(spark, folder, "passages")
+    return sentences.units(sentences.records(table(spark, folder, "sections"), passages), sentences.spaces_model(passages))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.Compression.fit(language.labelled_sample(docs))
+    found = language.segments(docs, model, sentences.spaces_model(table(spark, folder, "passages")))
+    return language.doubtful(cut(found)).drop("lang")
+
+
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p8_segments(spark, folder).select("doc_id", "segment_no", F.col("language").alias("lang"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    each = cut(pairs.pairs_of(table(spark, folder, "baseline_results"), table(spark, folder, "benchmark_examples"), table(spark, folder, "llm_responses")))
+    languages = language.Bayes().fit(language.labelled_sample(table(spark, folder, "documents")))
+    return pairs.defects(each, languages, pairs.end_counts(each))
+
+
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_segments": p8_segments}
 
 SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND}
