@@ -86,12 +86,13 @@ class Bayes:
         n = np.full((len(LANGS), self.size), 0.05)
         for lang, text in sample:
             np.add.at(n[LANGS.index(lang)], self.grams(text), 1.0)
-        self.log = np.log(n / n.sum(axis=1, keepdims=True)).astype(np.float32)
+        # a row per n-gram, so that a look-up reads one place
+        self.log = np.ascontiguousarray(np.log(n / n.sum(axis=1, keepdims=True)).T.astype(np.float32))
         return self
 
     def scores(self, text: str) -> np.ndarray:
         """Log-likelihood per language, divided by 3 as neighbouring grams share their characters."""
-        return self.log[:, self.grams(text)].sum(axis=1) / 3
+        return self.log[self.grams(text)].sum(axis=0) / 3
 
 
 class Compression:

@@ -10,6 +10,7 @@ a fixed size and summed up by Spark.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 from collections.abc import Iterator
@@ -55,7 +56,9 @@ REFUSALS = [
     r"无法(?:回答|作答|提供)", r"不足以(?:作答|回答)", r"我不能(?:就此|回答|讨论)", r"对不起|抱歉", r"お答えできません|答えられません|申し訳ありません|お話しできません|お話しすることはできません|コメントできません",
     r"لا أستطيع|لا يمكنني|لا تكفي لتقديم|عذرا|أعتذر|غير مسموح لي|لا يسمح لي", r"उत्तर नहीं दे सकत|क्षमा करें|उत्तर के लिए पर्याप्त नहीं|बात नहीं कर सकत|अनुमति नहीं है", r"ไม่สามารถตอบ|ขออภัย|ไม่เพียงพอ(?:ที่จะ|ต่อการ|สำหรับ)(?:การ|คำ)?ตอบ|ไม่ได้รับอนุญาต",
 ]
-_REFUSES = re.compile("|".join(REFUSALS))
+_LATIN = [x for x in REFUSALS if max(x) < "\u0300"]
+_REFUSES, _REFUSES_ELSE = re.compile("|".join(_LATIN)), re.compile("|".join(x for x in REFUSALS if x not in _LATIN))
+_NOT_LATIN = re.compile("[\u0370-\u1fff\u3040-\uffff]")
 # Stems of names of languages, by which a question asks for one.
 ASKED = {
     "en": "english englis anglais inglés ingles inglês английск 英语 英文 英語 إنجليزي अंग्रेज़ी अंग्रेजी อังกฤษ", "de": "german deutsch allemand alemán alemã alemão tedesc немецк 德语 德文 ドイツ語 ألماني जर्मन เยอรมัน",
@@ -93,8 +96,9 @@ def bare(answer: str) -> str:
     return _LABEL.sub(" ", _TAG.sub(" ", answer)).strip()
 
 
-def _hash(*words: str) -> int:
-    return xxhash.xxh64_intdigest("\x1f".join(words)) % SLOTS
+@functools.lru_cache(1 << 16)
+def _hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word) % SLOTS
 
 
 def _tokens(text: str) -> list[str]:
@@ -114,13 +118,23 @@ def _shape(tokens: list[str], common: np.ndarray) -> list[str]:
     return out
 
 
-def _contexts(words: list[str], i: int) -> list[int]:
+@functools.lru_cache(1 << 16)
+def _word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def _contexts(words: list[str], hashes: list[int], i: int) -> list[int]:
     """Slots of the contexts that end with word i: 1 to 4 words, or 2 to 9 characters of scripts without blanks.
 
     A context that reaches beyond the first word counts apart: it holds the text's beginning.
     """
+    out, h = [], 0
     sizes = (2, 4, 6, 9) if _UNSPACED.match(words[i]) else (1, 2, 3, 4)
-    return [_hash(str(n), *words[max(0, i - n + 1) : i + 1]) for n in sizes if n <= i + 2]
+    for n in range(1, min(sizes[-1], i + 2) + 1):
+        h = (h * 0x9E3779B97F4A7C15 + (hashes[i - n + 1] if n <= i + 1 else 1)) & 0xFFFFFFFFFFFFFFFF
+        if n in sizes:
+            out.append((h ^ n * 0x2545F491) * 0xBF58476D1CE4E5B9 >> 20 & SLOTS - 1)
+    return out
 
 
 def pairs_of(results: DataFrame, examples: DataFrame, responses: DataFrame) -> DataFrame:
@@ -169,16 +183,20 @@ def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.nd
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         for b in batches:
+            seen: list[int] = []
+            ended: list[int] = []
             for t in b.column(0).to_pylist():
                 words = _shape(_tokens(bare(unwrap(t)[0]).rstrip(_CLOSING)), shared.value)
+                hashes = [_word_hash(w) for w in words]
                 for i, w in enumerate(words):
                     if w[0] in _STOP:
                         continue
-                    last = i + 1 == len(words)
-                    c = _contexts(words, i)
-                    n[c] += 1
-                    if last or words[i + 1][0] in _STOP:
-                        e[c] += 1
+                    c = _contexts(words, hashes, i)
+                    seen += c
+                    if i + 1 == len(words) or words[i + 1][0] in _STOP:
+                        ended += c
+            n += np.bincount(np.array(seen, np.int64), minlength=SLOTS)
+            e += np.bincount(np.array(ended, np.int64), minlength=SLOTS)
         s = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(e[s]), pa.array(n[s])], names=["slot", "e", "n"])
 
@@ -189,7 +207,7 @@ def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.nd
 def end_likelihood(words: list[str], ends: np.ndarray, seen: np.ndarray) -> float:
     """The probability that a text ends after these words; the text's own end is not counted."""
     p = 0.5
-    for c in _contexts(words, len(words) - 1):
+    for c in _contexts(words, [_word_hash(w) for w in words], len(words) - 1):
         p = (max(0, ends[c] - 1) + 2 * p) / (max(0, seen[c] - 1) + 2)
     return p
 
@@ -226,7 +244,8 @@ def defect(question: str | None, answer: str | None, languages: Bayes, counts: t
         return "empty"
     if question and _echo(question, text):
         return "echo"
-    if _REFUSES.search(text.lower().replace("’", "'")):
+    low = text.lower().replace("’", "'")
+    if _REFUSES.search(low) or _NOT_LATIN.search(low) and _REFUSES_ELSE.search(low):
         return "refusal"
     if question and _other_language(question, text, languages, common, margin):
         return "language"
