@@ -162,8 +162,12 @@ def classes(records: DataFrame, key: str, text: str) -> DataFrame:
     return one.mapInArrow(read, f"`{key}` {kind}, class_id bigint, elements array<bigint>, prints array<bigint>")
 
 
-def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per class, block and anchor: where it lives, and where it visits."""
+def _placed(light: DataFrame, visits: bool) -> DataFrame:
+    """One row per class, block and anchor: where it lives, and with ``visits`` also where it visits."""
+    return light.mapInArrow(lambda batches: _place(batches, visits), "anchor int, class_id bigint, n int, c0 bigint, c1 bigint")
+
+
+def _place(batches: Iterator[pa.RecordBatch], visits: bool) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
@@ -176,14 +180,13 @@ def _place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if k * 24 % 64 + BITS > 64:
                 p |= ((bits[:, k * 24 // 64 + 1] << np.uint64(64 - k * 24 % 64)) & np.uint64(_MASK)).astype(np.int64)
             own, away = anchors(p)
-            r, c = np.nonzero(away >= 0)
-            who = np.concatenate([np.arange(len(ids)), r])
-            out.append((who, np.concatenate([own, away[r, c]]) | (k << BITS), np.arange(len(who)) < len(ids)))
-        who, at, lives = (np.concatenate(x) for x in zip(*out))
+            r, c = np.nonzero(away >= 0) if visits else (np.empty(0, np.int64), np.empty(0, np.int64))
+            out.append((np.concatenate([np.arange(len(ids)), r]), np.concatenate([own, away[r, c]]) | (k << BITS)))
+        who, at = (np.concatenate(x) for x in zip(*out))
         v = bits.view(np.int64)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(lives), pa.array(ids[who]), pa.array(size[who]), pa.array(v[who, 0]), pa.array(v[who, 1])],
-            names=["anchor", "lives", "class_id", "n", "c0", "c1"],
+            [pa.array(at.astype(np.int32)), pa.array(ids[who]), pa.array(size[who]), pa.array(v[who, 0]), pa.array(v[who, 1])],
+            names=["anchor", "class_id", "n", "c0", "c1"],
         )
 
 
@@ -191,15 +194,15 @@ def class_pairs(found: DataFrame, least: float) -> DataFrame:
     """(a, b, similarity) of classes a < b whose exact similarity is at least ``least``.
 
     The join per anchor is left to Spark: an anchor that many classes share is split by
-    adaptive skew handling.
+    adaptive skew handling. The covering holds in either direction, so the class with the smaller
+    id stays where it lives and only the other one visits: each block finds a pair once.
     """
     light = found.select("class_id", F.size("elements").alias("n"), "prints")
-    placed = light.mapInArrow(_place, "anchor int, lives boolean, class_id bigint, n int, c0 bigint, c1 bigint")
-    x, y = placed.where("lives").alias("x"), placed.alias("y")
+    x, y = _placed(light, visits=False).alias("x"), _placed(light, visits=True).alias("y")
     far = F.bit_count(F.col("x.c0").bitwiseXOR(F.col("y.c0"))) + F.bit_count(F.col("x.c1").bitwiseXOR(F.col("y.c1")))
     fits = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)) & (far <= CHECK_BITS)
-    met = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.class_id") != F.col("y.class_id")) & fits)
-    met = met.select(F.least("x.class_id", "y.class_id").alias("a"), F.greatest("x.class_id", "y.class_id").alias("b")).distinct()
+    met = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.class_id") < F.col("y.class_id")) & fits)
+    met = met.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     sets = found.select("class_id", "elements")
     d = met.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
     common = F.size(F.array_intersect("ea", "eb"))

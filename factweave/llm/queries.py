@@ -29,7 +29,7 @@ def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     members, found = _copies(spark, folder)
-    pairs = neardup.member_pairs(members, neardup.class_pairs(found, 0.7), "passage_id")
+    pairs = neardup.member_pairs(members, cut(neardup.class_pairs(found, 0.7)), "passage_id")
     return pairs.select(F.col("a").alias("passage_a"), F.col("b").alias("passage_b"))
 
 
