@@ -111,6 +111,10 @@ class Compression:
 
     def sizes(self, text: str) -> np.ndarray:
         """Bytes per language; a language without a dictionary compresses without one."""
+        return self.table([text])[0]
+
+    def table(self, texts: list[str]) -> np.ndarray:
+        """A row per text of the bytes per language; each dictionary takes all texts in turn."""
         if self._made is None:
             self._made = []
             for raw in self.raw:
@@ -120,8 +124,8 @@ class Compression:
                     self._made.append(zstandard.ZstdCompressor(level=self.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
                 else:
                     self._made.append(zstandard.ZstdCompressor(level=self.LEVEL, write_content_size=False))
-        b = text.lower().encode("utf-8", "replace")
-        return np.array([len(z.compress(b)) for z in self._made], np.float64)
+        b = [t.lower().encode("utf-8", "replace") for t in texts]
+        return np.array([list(map(len, map(z.compress, b))) for z in self._made], np.float64).T
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]], size: int = 1 << 16) -> Compression:
@@ -150,6 +154,23 @@ _LETTERS, _WIDE, _FINAL = re.compile(r"[^\W\d_]+"), re.compile("[⺁-\uffff]+"),
 _ENCLOSED = set("([{“„«「『（【\"'")
 
 
+def _cheapest(cost: np.ndarray, switch: float) -> list[int]:
+    """The column of every row on the cheapest path, where every change of column costs ``switch``."""
+    one = int(np.argmin(cost.sum(axis=0)))
+    if (cost[:, one] == cost.min(axis=1)).all():  # best in every row: no path is cheaper
+        return [one] * len(cost)
+    path, back = cost[0].copy(), []
+    for row in cost[1:]:
+        best = int(np.argmin(path))
+        moved = path[best] + switch
+        back.append(np.where(path <= moved, np.arange(cost.shape[1]), best))
+        path = np.minimum(path, moved) + row
+    lang = [int(np.argmin(path))]
+    for step in reversed(back):
+        lang.append(int(step[lang[-1]]))
+    return lang[::-1]
+
+
 def segment(text: str | None, model: Compression, spaces: dict | None = None, switch: float = 7.0, least: float = 5.0) -> list[tuple[int, int, str, float]]:
     """(start, end, lang, confidence) of the segments of whole sentences in one language.
 
@@ -163,32 +184,23 @@ def segment(text: str | None, model: Compression, spaces: dict | None = None, sw
     parts = sentences.split(text, spaces)
     if not parts:
         return []
-    units: list[tuple[int, int, np.ndarray | None]] = []
+    units: list[tuple[int, int, bool]] = []  # the last: whether it is too weak to be judged
     for a, b in parts:
         s = text[a:b]
         letters = sum(map(len, _LETTERS.findall(s)))
-        wide = sum(map(len, _WIDE.findall(s)))
+        wide = 0 if s.isascii() else sum(map(len, _WIDE.findall(s)))
         aside = s[0] in _ENCLOSED and len(s) <= 60 and not _FINAL.search(s)
-        weak = letters + 3 * wide < 12 or aside or s.lstrip().startswith("#")
-        units.append((a, b, None if weak else model.sizes(s)))
-    strong = [i for i, u in enumerate(units) if u[2] is not None]
-    if not strong:
+        units.append((a, b, letters + 3 * wide < 12 or aside or s[0] == "#"))
+    strong = [i for i, u in enumerate(units) if not u[2]]
+    if strong:
+        cost = model.table([text[units[i][0] : units[i][1]] for i in strong])
+    else:
         # headings alone may still be sentences of a language
         a, b = parts[0][0], parts[-1][1]
         if sum(map(str.isalpha, text[a:b])) < 12:
             return []
-        units, strong = [(a, b, model.sizes(text[a:b]))], [0]
-    cost = np.stack([units[i][2] for i in strong])
-    path, back = cost[0].copy(), []
-    for row in cost[1:]:
-        best = int(np.argmin(path))
-        moved = path[best] + switch
-        back.append(np.where(path <= moved, np.arange(len(LANGS)), best))
-        path = np.minimum(path, moved) + row
-    lang = [int(np.argmin(path))]
-    for step in reversed(back):
-        lang.append(int(step[lang[-1]]))
-    lang.reverse()
+        units, strong, cost = [(a, b, False)], [0], model.table([text[a:b]])
+    lang = _cheapest(cost, switch)
     runs: list[list] = []  # language, first and last strong unit, cost
     for k, g in enumerate(lang):
         if runs and runs[-1][0] == g:
@@ -210,7 +222,7 @@ def segment(text: str | None, model: Compression, spaces: dict | None = None, sw
     spans = []
     for n, (g, first, last, lead) in enumerate(out):
         a = 0 if n == 0 else strong[first]
-        while n and a > 0 and units[a - 1][2] is None and text[units[a - 1][0]] == "#":
+        while n and a > 0 and units[a - 1][2] and text[units[a - 1][0]] == "#":
             a -= 1
         spans.append([a, g, lead])
     result = []
