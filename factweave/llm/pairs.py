@@ -137,6 +137,47 @@ def _contexts(words: list[str], hashes: list[int], i: int) -> list[int]:
     return out
 
 
+class _Shapes(dict):
+    """Token -> number of its shape, made on first sight; 0 is the beginning of a text."""
+
+    def __init__(self, common: np.ndarray):
+        super().__init__()
+        self.common, self.number = common, {}
+        self.hashes, self.stops, self.unspaced = [1], [False], [False]
+
+    def __missing__(self, token: str) -> int:
+        (w,) = _shape([token], self.common)
+        if w not in self.number:
+            self.number[w] = len(self.hashes)
+            self.hashes.append(_word_hash(w))
+            self.stops.append(w[0] in _STOP)
+            self.unspaced.append(bool(_UNSPACED.match(w)))
+        if len(self) > 1 << 18:
+            self.clear()
+        self[token] = k = self.number[w]
+        return k
+
+
+def _count_ends(numbers: np.ndarray, known: _Shapes, ends: np.ndarray, seen: np.ndarray) -> None:
+    """Adds the contexts (as in _contexts) of all words of texts, each headed by 0, to the counts."""
+    at = np.arange(len(numbers))
+    begins, stops, unspaced = numbers == 0, np.array(known.stops)[numbers], np.array(known.unspaced)[numbers]
+    depth = at - np.maximum.accumulate(np.where(begins, at, 0))
+    last = np.append((begins | stops)[1:], True)
+    values = np.array(known.hashes, np.uint64)[numbers]
+    h = np.zeros(len(numbers), np.uint64)
+    for n in range(1, min(9, len(numbers)) + 1):
+        h[n - 1 :] = h[n - 1 :] * np.uint64(0x9E3779B97F4A7C15) + values[: len(numbers) - n + 1]
+        if n not in (1, 2, 3, 4, 6, 9):
+            continue
+        of = ~begins & ~stops & (depth + 1 >= n)
+        if n not in (2, 4):
+            of &= unspaced if n > 4 else ~unspaced
+        slots = ((h ^ np.uint64(n * 0x2545F491)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+        seen += np.bincount(slots[of], minlength=SLOTS)
+        ends += np.bincount(slots[of & last], minlength=SLOTS)
+
+
 def pairs_of(results: DataFrame, examples: DataFrame, responses: DataFrame) -> DataFrame:
     """kind, record_id, question, answer; a record (same key) counts once, null keys not at all."""
     q = examples.where(F.col("example_id").isNotNull()).groupBy("example_id").agg(F.max("question").alias("question"))
@@ -170,7 +211,7 @@ def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.nd
         n = np.zeros(SLOTS, np.int64)
         for b in batches:
             for t in b.column(0).to_pylist():
-                for w in {_hash(w.lower()) for w in _tokens(bare(unwrap(t)[0]))}:
+                for w in {_hash(w.lower()) for w in set(_tokens(bare(unwrap(t)[0])))}:
                     n[w] += 1
         s = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(n[s])], names=["slot", "n"])
@@ -182,21 +223,15 @@ def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.nd
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
+        known, numbers = _Shapes(shared.value), []
         for b in batches:
-            seen: list[int] = []
-            ended: list[int] = []
             for t in b.column(0).to_pylist():
-                words = _shape(_tokens(bare(unwrap(t)[0]).rstrip(_CLOSING)), shared.value)
-                hashes = [_word_hash(w) for w in words]
-                for i, w in enumerate(words):
-                    if w[0] in _STOP:
-                        continue
-                    c = _contexts(words, hashes, i)
-                    seen += c
-                    if i + 1 == len(words) or words[i + 1][0] in _STOP:
-                        ended += c
-            n += np.bincount(np.array(seen, np.int64), minlength=SLOTS)
-            e += np.bincount(np.array(ended, np.int64), minlength=SLOTS)
+                numbers.append(0)
+                numbers += map(known.__getitem__, _tokens(bare(unwrap(t)[0]).rstrip(_CLOSING)))
+                if len(numbers) > 1 << 19:
+                    _count_ends(np.array(numbers, np.int64), known, e, n)
+                    numbers = []
+        _count_ends(np.array(numbers, np.int64), known, e, n)
         s = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(e[s]), pa.array(n[s])], names=["slot", "e", "n"])
 

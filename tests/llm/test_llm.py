@@ -160,3 +160,35 @@ def test_defects(spark, model):
     got = {r.record_id: r.defect for r in pairs.defects(d, model[1], pairs.end_counts(d)).collect()}
     assert [got.get(str(i)) for i in range(len(cases))] == [w for _, w in cases]
     assert not [k for k in got if not k.isdigit()]
+
+
+def test_counts_of_ends_equal_contexts_word_by_word():
+    texts = ["", "Yes", "The cache is warm. It holds", "缓存命中率很高。命中后返回", "... 1998, ok? no", "สวัสดี ok แล้ว"]
+    common = np.zeros(pairs.SLOTS, bool)
+    common[[pairs._hash(w) for w in ("the", "is", "it", "ok")]] = True
+    known = pairs._Shapes(common)
+    ends, seen, want_e, want_n = (np.zeros(pairs.SLOTS, np.int64) for _ in range(4))
+    numbers = []
+    for t in texts:
+        numbers += [0, *map(known.__getitem__, pairs._tokens(t))]
+        words = pairs._shape(pairs._tokens(t), common)
+        hashes = [pairs._word_hash(w) for w in words]
+        for i, w in enumerate(words):
+            if w[0] not in pairs._STOP:
+                c = pairs._contexts(words, hashes, i)
+                np.add.at(want_n, c, 1)
+                if i + 1 == len(words) or words[i + 1][0] in pairs._STOP:
+                    np.add.at(want_e, c, 1)
+    pairs._count_ends(np.array(numbers), known, ends, seen)
+    pairs._count_ends(np.empty(0, np.int64), known, ends, seen)
+    assert (seen == want_n).all() and (ends == want_e).all() and seen.sum() > 0
+
+
+def test_language_path_is_the_cheapest():
+    from itertools import product
+
+    rng = np.random.default_rng(5)
+    for _ in range(30):
+        cost = rng.integers(0, 12, (5, 3)).astype(float)
+        price = lambda p: sum(cost[i, g] for i, g in enumerate(p)) + 4.0 * sum(a != b for a, b in zip(p, p[1:]))
+        assert price(language._cheapest(cost, 4.0)) == min(map(price, product(range(3), repeat=5)))
