@@ -1,6 +1,6 @@
 """Near-duplicate records by anchor-point covering.
 
-A record is the multiset of its words. Copies with the same multiset are one class; all
+A record is the multiset of its words. Records with the same multiset are one class; all
 further work is on classes. A class gets 1-bit min-hashes: two classes of similarity J
 differ in any one bit with probability (1 - J) / 2. The bits are cut into BLOCKS
 fingerprints of 23 bits. Anchors are the 4096 words of the perfect binary Golay code,
@@ -136,30 +136,32 @@ def fingerprint(elements: np.ndarray) -> np.ndarray:
 
 
 def classes(records: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per key: key, class_id, elements, prints.
+    """One row per key: key, class_id, elements, prints, and the copy_id of the records.
 
     class_id is a hash of the words, so equal multisets share it. Records without words are in
     no class. A key that occurs several times counts once (with the largest text).
     """
-    one = records.groupBy(key).agg(F.max(text).alias("__text")).where(F.col(key).isNotNull())
+    one = records.groupBy(key).agg(F.max(F.struct(text, "copy_id")).alias("__one")).where(F.col(key).isNotNull())
+    one = one.select(key, f"__one.{text}", "__one.copy_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids, sets, prints = [], [], [], []
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            keys, ids, sets, prints, stored = [], [], [], [], []
+            for k, t, c in zip(*(x.to_pylist() for x in b.columns)):
                 e = _elements(t or "")
                 if len(e):
                     keys.append(k)
                     ids.append(xxhash.xxh3_64_intdigest(e.tobytes()) - 2**63)
                     sets.append(e.view(np.int64))
                     prints.append(fingerprint(e).view(np.int64))
+                    stored.append(c)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, b.column(0).type), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64()))],
-                names=[key, "class_id", "elements", "prints"],
+                [pa.array(keys, b.column(0).type), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64())), pa.array(stored, pa.string())],
+                names=[key, "class_id", "elements", "prints", "copy_id"],
             )
 
     kind = dict(one.dtypes)[key]
-    return one.mapInArrow(read, f"`{key}` {kind}, class_id bigint, elements array<bigint>, prints array<bigint>")
+    return one.mapInArrow(read, f"`{key}` {kind}, class_id bigint, elements array<bigint>, prints array<bigint>, copy_id string")
 
 
 def _placed(light: DataFrame, visits: bool) -> DataFrame:
@@ -210,28 +212,57 @@ def class_pairs(found: DataFrame, least: float) -> DataFrame:
     return d.where(F.col("similarity") >= least)
 
 
-def member_pairs(members: DataFrame, pairs: DataFrame, key: str, spread: int = 4096) -> DataFrame:
+def _units(members: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Units (class_id, unit, n) and their members in blocks (class_id, unit, no, ids) of about ``block``.
+
+    True copies (equal copy_id) beyond ``block`` are a unit of their own; all other members of a
+    class are its unit ''.
+    """
+    m = members if "copy_id" in members.columns else members.withColumn("copy_id", F.lit(""))
+    if "copy_id" in members.columns:
+        large = m.groupBy("class_id", "copy_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
+        m = m.join(large, ["class_id", "copy_id"], "left").withColumn("unit", F.when(F.col("k").isNotNull(), F.col("copy_id")).otherwise(""))
+    else:
+        m = m.withColumn("unit", F.lit(""))
+    m = m.select("class_id", "unit", F.col(key).alias("id"))
+    sizes = m.groupBy("class_id", "unit").agg(F.count(F.lit(1)).alias("k")).select("class_id", "unit", F.ceil(F.col("k") / block).alias("n"))
+    no = F.pmod(F.xxhash64("id"), F.col("n"))
+    blocks = m.join(sizes, ["class_id", "unit"]).groupBy("class_id", "unit", no.alias("no")).agg(F.collect_list("id").alias("ids"))
+    return sizes, blocks
+
+
+def member_pairs(members: DataFrame, pairs: DataFrame, key: str, block: int = 64) -> DataFrame:
     """(a, b) of member keys a < b: all pairs of members within and between similar classes.
 
-    Where that would be more than ``spread`` pairs for one class or pair of classes (large groups of
-    exact copies), members are linked to the smallest key of the class instead, and only
-    those smallest keys to one another: no link between different texts is lost.
+    members: key, class_id and, where known, copy_id: members of equal copy_id are true copies.
+    Only more than ``block`` true copies of one text are reduced: each is linked to the smallest key
+    among them (see copies). Every pair of different texts is given, however large the
+    classes: members are joined block by block, so that no task holds a whole class.
     """
-    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("first"))
-    m = members.join(sizes, "class_id").withColumnRenamed(key, "id")
-    copies = m.where(F.col("k") > 1)
-    x = copies.where((F.col("k") * F.col("k") <= spread) | (F.col("id") == F.col("first"))).select("class_id", F.col("id").alias("p"))
-    inside = x.join(copies.select("class_id", F.col("id").alias("q")), "class_id").where("p < q")
-    small = sizes.select("class_id", "k", "first")
-    sized = pairs.select("a", "b").join(small.toDF("a", "ka", "fa"), "a").join(small.toDF("b", "kb", "fb"), "b")
-    whole = F.col("ka") * F.col("kb") <= spread
-    few = sized.where(whole).select("a", "b").join(m.select(F.col("class_id").alias("a"), F.col("id").alias("p")), "a").join(m.select(F.col("class_id").alias("b"), F.col("id").alias("q")), "b")
-    many = sized.where(~whole).select(F.col("fa").alias("p"), F.col("fb").alias("q"))
-    out = inside.select("p", "q").unionByName(few.select("p", "q")).unionByName(many)
-    return out.select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    sizes, blocks = _units(members, key, block)
+    u, v = sizes.toDF("a", "ua", "na"), sizes.toDF("b", "ub", "nb")
+    between = pairs.select("a", "b").join(u, "a").join(v, "b")
+    within = u.join(v, (F.col("a") == F.col("b")) & (F.col("ua") <= F.col("ub")) & ((F.col("ua") != F.col("ub")) | (F.col("ua") == "")))
+    same = (F.col("a") == F.col("b")) & (F.col("ua") == F.col("ub"))
+    d = between.unionByName(within).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
+    d = d.withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("nb") - 1)))
+    d = d.join(blocks.toDF("a", "ua", "i", "p"), ["a", "ua", "i"]).join(blocks.toDF("b", "ub", "j", "q"), ["b", "ub", "j"])
+    d = d.select(F.explode("p").alias("p"), "q", (same & (F.col("i") == F.col("j"))).alias("one")).select("p", F.explode("q").alias("q"), "one")
+    out = d.where(~F.col("one") | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
+    if "copy_id" not in members.columns:
+        return out
+    links = copies(members, key, block).where(F.col("copy_of") != F.col(key))
+    return out.unionByName(links.select(F.col("copy_of").alias("a"), F.col(key).alias("b")))
+
+
+def copies(members: DataFrame, key: str, more_than: int = 1) -> DataFrame:
+    """key, copy_of: the smallest key with the same stored text, for texts that ``more_than`` keys share."""
+    d = members.groupBy("class_id", "copy_id").agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("copy_of")).where(F.col("k") > more_than)
+    return members.join(d, ["class_id", "copy_id"]).select(key, "copy_of")
 
 
 def passage_text(passages: DataFrame) -> DataFrame:
-    """passage_id and its title and sentences as one text; null parts are left out."""
+    """passage_id, its title and sentences as one text (null parts are left out), and copy_id, a hash of both as stored."""
     parts = F.concat(F.array("title"), F.coalesce("sentences", F.array().cast("array<string>")))
-    return passages.select("passage_id", F.array_join(parts, " ").alias("text"))
+    stored = F.to_json(F.struct("title", "sentences"))
+    return passages.select("passage_id", F.array_join(parts, " ").alias("text"), F.md5(stored).alias("copy_id"))

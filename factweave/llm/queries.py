@@ -24,7 +24,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Members and classes of the passages, cut before they are read several times."""
     each = cut(neardup.classes(neardup.passage_text(table(spark, folder, "passages")), "passage_id", "text"))
-    return each.select("passage_id", "class_id"), each.drop("passage_id").dropDuplicates(["class_id"])
+    return each.select("passage_id", "class_id", "copy_id"), each.drop("passage_id", "copy_id").dropDuplicates(["class_id"])
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -33,6 +33,11 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.select(F.col("a").alias("passage_a"), F.col("b").alias("passage_b"))
 
 
+def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
+    members, _ = _copies(spark, folder)
+    return neardup.copies(members, "passage_id")
+
+
 def _sampling(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Records, leaves, targets and quotas of the three fields."""
     docs, examples = table(spark, folder, "documents"), table(spark, folder, "benchmark_examples")
@@ -121,6 +126,6 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return pairs.defects(each, languages, pairs.end_counts(each))
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_segments": p8_segments}
 
 SQL: dict[str, str] = {"p1_found": sql.P1_FOUND, "p4_found": sql.P4_FOUND}

@@ -56,6 +56,23 @@ def test_near_duplicates_against_brute_force(spark):
     assert got <= want and len(got) >= 0.9 * len(want) and ("p000", "p120") in got
 
 
+def test_large_classes_keep_every_pair_of_different_texts(spark):
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.sample(base, 40)) for _ in range(70)] + [" ".join(r.sample([*base[1:], "x"], 40)) for _ in range(70)] + [" ".join(base)] * 80
+    assert len(set(texts)) == 141
+    rows = [(f"p{i:03}", None, [t]) for i, t in enumerate(texts)]
+    each = neardup.classes(neardup.passage_text(_passages(spark, rows)), "passage_id", "text").cache()
+    found = each.drop("passage_id", "copy_id").dropDuplicates(["class_id"])
+    members = each.select("passage_id", "class_id", "copy_id")
+    a, b = sorted(x.class_id for x in found.collect())
+    pairs = spark.createDataFrame([(a, b)], "a bigint, b bigint")
+    got = [(x.a, x.b) for x in neardup.member_pairs(members, pairs, "passage_id").collect()]
+    want = {(f"p{i:03}", f"p{j:03}") for i in range(220) for j in range(i + 1, 220) if texts[i] != texts[j]}
+    assert len(got) == len(set(got)) and set(got) == want | {("p140", f"p{j:03}") for j in range(141, 220)}
+    assert {(x.passage_id, x.copy_of) for x in neardup.copies(members, "passage_id").collect()} == {(f"p{j:03}", "p140") for j in range(140, 220)}
+
+
 def test_anchors_lie_within_the_radius():
     own, away = neardup.anchors(np.arange(1 << 12, dtype=np.int64) * 1999 % (1 << 23))
     p = np.arange(1 << 12, dtype=np.int64) * 1999 % (1 << 23)
