@@ -4,8 +4,9 @@ A pair gets at most one defect, in this order: ``empty``, ``echo``, ``refusal``,
 ``language``, ``truncated``. Languages are compared by the posteriors of a naive Bayes over
 character n-grams. Truncation is judged by the likelihood that a text ends where the
 answer does, given its last one to four words: counts over all answers (words rare in
-all answers count by their shape, so names are alike). Both count tables are hashed to
-a fixed size and summed up by Spark.
+all answers count by their shape, so names are alike). Contexts are counted by their
+64-bit hash in Spark, and the contexts at the end of an answer are joined to their counts;
+only the words held are counted in a table of fixed size.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import numpy as np
 import pyarrow as pa
 import regex
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from factweave.llm.language import LANGS, Bayes
+from factweave.session import cut
 
-SLOTS = 1 << 19  # of each hashed count table
+SLOTS = 1 << 19  # of the hashed table of words
 _WORD = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]|[\p{L}\p{M}]+|\p{N}+(?:[.,:/-]\p{N}+)*|[^\s\p{L}\p{M}\p{N}]")
 _UNSPACED = regex.compile(r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}]")
 _LABEL = re.compile(r"\[[^\[\]]*\]")
@@ -123,8 +125,8 @@ def _word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest(word)
 
 
-def _contexts(words: list[str], hashes: list[int], i: int) -> list[int]:
-    """Slots of the contexts that end with word i: 1 to 4 words, or 2 to 9 characters of scripts without blanks.
+def _context_hashes(words: list[str], hashes: list[int], i: int) -> list[int]:
+    """64-bit hashes of the contexts that end with word i: 1 to 4 words, or 2 to 9 characters of scripts without blanks.
 
     A context that reaches beyond the first word counts apart: it holds the text's beginning.
     """
@@ -133,10 +135,15 @@ def _contexts(words: list[str], hashes: list[int], i: int) -> list[int]:
     for n in range(1, min(sizes[-1], i + 2) + 1):
         h = (h * 0x9E3779B97F4A7C15 + (hashes[i - n + 1] if n <= i + 1 else 1)) & 0xFFFFFFFFFFFFFFFF
         if n in sizes:
-            out.append((h ^ n * 0x2545F491) * 0xBF58476D1CE4E5B9 >> 20 & SLOTS - 1)
+            out.append((h ^ n * 0x2545F491) * 0xBF58476D1CE4E5B9 & 0xFFFFFFFFFFFFFFFF)
     return out
 
 
+def _contexts(words: list[str], hashes: list[int], i: int) -> list[int]:
+    """Slots of the contexts, for count tables of SLOTS."""
+    return [h >> 20 & SLOTS - 1 for h in _context_hashes(words, hashes, i)]
+
+
 class _Shapes(dict):
     """Token -> number of its shape, made on first sight; 0 is the beginning of a text."""
 
@@ -158,8 +165,8 @@ class _Shapes(dict):
         return k
 
 
-def _count_ends(numbers: np.ndarray, known: _Shapes, ends: np.ndarray, seen: np.ndarray) -> None:
-    """Adds the contexts (as in _contexts) of all words of texts, each headed by 0, to the counts."""
+def _ended(numbers: np.ndarray, known: _Shapes) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(hashes, whether a text or sentence ends there) of the contexts (as in _context_hashes) of all words of texts, each headed by 0."""
     at = np.arange(len(numbers))
     begins, stops, unspaced = numbers == 0, np.array(known.stops)[numbers], np.array(known.unspaced)[numbers]
     depth = at - np.maximum.accumulate(np.where(begins, at, 0))
@@ -173,9 +180,27 @@ def _count_ends(numbers: np.ndarray, known: _Shapes, ends: np.ndarray, seen: np.
         of = ~begins & ~stops & (depth + 1 >= n)
         if n not in (2, 4):
             of &= unspaced if n > 4 else ~unspaced
-        slots = ((h ^ np.uint64(n * 0x2545F491)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
-        seen += np.bincount(slots[of], minlength=SLOTS)
-        ends += np.bincount(slots[of & last], minlength=SLOTS)
+        yield (h[of] ^ np.uint64(n * 0x2545F491)) * np.uint64(0xBF58476D1CE4E5B9), last[of]
+
+
+def _count_ends(numbers: np.ndarray, known: _Shapes, ends: np.ndarray, seen: np.ndarray) -> None:
+    """Adds the contexts of texts to count tables of SLOTS."""
+    for h, last in _ended(numbers, known):
+        slots = (h >> np.uint64(20) & np.uint64(SLOTS - 1)).astype(np.int64)
+        seen += np.bincount(slots, minlength=SLOTS)
+        ends += np.bincount(slots[last], minlength=SLOTS)
+
+
+def _context_counts(numbers: np.ndarray, known: _Shapes) -> pa.RecordBatch:
+    """context, e, n: each context of the texts once, with its ends and all its occurrences."""
+    found = list(_ended(numbers, known))
+    h, last = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.uint64), np.empty(0, bool))
+    order = np.argsort(h)
+    h = h[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1])) if len(h) else np.empty(0, np.int64)
+    e = np.add.reduceat(last[order].astype(np.int64), first) if len(h) else first
+    n = np.diff(np.append(first, len(h)))
+    return pa.RecordBatch.from_arrays([pa.array(h[first].view(np.int64)), pa.array(e), pa.array(n)], names=["context", "e", "n"])
 
 
 def pairs_of(results: DataFrame, examples: DataFrame, responses: DataFrame) -> DataFrame:
@@ -201,8 +226,8 @@ def _summed(df: DataFrame, schema: str, count) -> list[np.ndarray]:
     return arrays
 
 
-def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(common words, ends after a context, all occurrences of it), hashed, over all answers.
+def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, DataFrame]:
+    """(common words, hashed; context, ends after it, all occurrences of it) over all answers.
 
     A word is common if more than the share ``rare`` of the answers hold it (and 8 at least).
     """
@@ -222,29 +247,27 @@ def end_counts(each: DataFrame, rare: float = 0.0005) -> tuple[np.ndarray, np.nd
     shared = each.sparkSession.sparkContext.broadcast(common)
 
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e, n = np.zeros(SLOTS, np.int64), np.zeros(SLOTS, np.int64)
         known, numbers = _Shapes(shared.value), []
         for b in batches:
             for t in b.column(0).to_pylist():
                 numbers.append(0)
                 numbers += map(known.__getitem__, _tokens(bare(unwrap(t)[0]).rstrip(_CLOSING)))
                 if len(numbers) > 1 << 19:
-                    _count_ends(np.array(numbers, np.int64), known, e, n)
+                    yield _context_counts(np.array(numbers, np.int64), known)
                     numbers = []
-        _count_ends(np.array(numbers, np.int64), known, e, n)
-        s = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(e[s]), pa.array(n[s])], names=["slot", "e", "n"])
+        yield _context_counts(np.array(numbers, np.int64), known)
 
-    e, n = _summed(answers, "slot bigint, e bigint, n bigint", ends)
-    return common, e, n
+    counts = answers.mapInArrow(ends, "context bigint, e bigint, n bigint")
+    return common, counts.groupBy("context").agg(F.sum("e").alias("e"), F.sum("n").alias("n"))
 
 
-def end_likelihood(words: list[str], ends: np.ndarray, seen: np.ndarray) -> float:
-    """The probability that a text ends after these words; the text's own end is not counted."""
-    p = 0.5
-    for c in _contexts(words, [_word_hash(w) for w in words], len(words) - 1):
-        p = (max(0, ends[c] - 1) + 2 * p) / (max(0, seen[c] - 1) + 2)
-    return p
+def end_likelihood(counts: Column) -> Column:
+    """The probability that a text ends after its last words; the text's own end is not counted.
+
+    counts: an array of (at, e, n) of the contexts at its end, shorter ones first.
+    """
+    less = lambda x: F.greatest(F.lit(0), x - 1)
+    return F.aggregate(F.array_sort(counts), F.lit(0.5), lambda p, c: (less(c["e"]) + 2 * p) / (less(c["n"]) + 2))
 
 
 def _echo(question: str, answer: str) -> bool:
@@ -269,51 +292,62 @@ def _other_language(question: str, answer: str, languages: Bayes, common: np.nda
     return not any(stem in low for stem in ASKED[LANGS[a]].split())
 
 
-def defect(question: str | None, answer: str | None, languages: Bayes, counts: tuple[np.ndarray, np.ndarray, np.ndarray], margin: float = 4.0, least: float = 0.08) -> str | None:
-    """The defect of a pair or None. ``margin``: nats between languages. ``least``: likelihood of an end."""
-    common, ends, seen = counts
+def defect(question: str | None, answer: str | None, languages: Bayes, common: np.ndarray, margin: float = 4.0) -> tuple[str | None, list[int]]:
+    """The defect of a pair or None, and the contexts at the end of an answer that is yet to be judged by them.
+
+    ``margin``: nats between languages.
+    """
     raw, broken = unwrap(answer)
     text = bare(raw)
     word = text.strip(" .…-–—*_()<>[]{}\"'`").lower()
     if not any(c.isalnum() for c in text) or word in PLACEHOLDERS:
-        return "empty"
+        return "empty", []
     if question and _echo(question, text):
-        return "echo"
+        return "echo", []
     low = text.lower().replace("’", "'")
     if _REFUSES.search(low) or _NOT_LATIN.search(low) and _REFUSES_ELSE.search(low):
-        return "refusal"
+        return "refusal", []
     if question and _other_language(question, text, languages, common, margin):
-        return "language"
+        return "language", []
     if broken:
-        return "truncated"
+        return "truncated", []
     end = text.rstrip(_CLOSING)
     if not end or end[-1] in _STOP:
-        return None
+        return None, []
     if end[-1] in ",;:([{（«„、，；：-–—" or sum(end.count(c) for c in "([{（") > sum(text.count(c) for c in ")]}）"):
-        return "truncated"
+        return "truncated", []
     tokens = _tokens(end)
     words = _shape(tokens, common)
     if words[-1] == "a" and len(words) > 3:
-        return "truncated"
+        return "truncated", []
     if len(words) == 1:
-        return None
-    return "truncated" if end_likelihood(words, ends, seen) < least else None
+        return None, []
+    return None, _context_hashes(words, [_word_hash(w) for w in words], len(words) - 1)
 
 
-def defects(each: DataFrame, languages: Bayes, counts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> DataFrame:
+def defects(each: DataFrame, languages: Bayes, counts: tuple[np.ndarray, DataFrame], least: float = 0.08) -> DataFrame:
     """kind, record_id, defect of the defective pairs of (kind, record_id, question, answer).
 
     A null answer is empty; a pair without a question is no echo and has no language defect.
+    ``least``: likelihood of an end. (kind, record_id) must be unique.
     """
-    shared = each.sparkSession.sparkContext.broadcast((languages, counts))
+    common, ends = counts
+    shared = each.sparkSession.sparkContext.broadcast((languages, common))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bayes, tables = shared.value
-            found = [defect(q, a, bayes, tables) for q, a in zip(b.column("question").to_pylist(), b.column("answer").to_pylist())]
-            keep = pa.array([i for i, d in enumerate(found) if d], pa.int64())
+            bayes, words = shared.value
+            found = [defect(q, a, bayes, words) for q, a in zip(b.column("question").to_pylist(), b.column("answer").to_pylist())]
+            keep = pa.array([i for i, (d, c) in enumerate(found) if d or c], pa.int64())
+            contexts = [np.array(c, np.uint64).view(np.int64) for d, c in found if d or c]
             yield pa.RecordBatch.from_arrays(
-                [b.column("kind").take(keep), b.column("record_id").take(keep), pa.array([d for d in found if d], pa.string())], names=["kind", "record_id", "defect"]
+                [b.column("kind").take(keep), b.column("record_id").take(keep), pa.array([d for d, c in found if d or c], pa.string()), pa.array(contexts, pa.list_(pa.int64()))],
+                names=["kind", "record_id", "defect", "contexts"],
             )
 
-    return each.mapInArrow(run, "kind string, record_id string, defect string")
+    judged = cut(each.mapInArrow(run, "kind string, record_id string, defect string, contexts array<bigint>"))
+    known = judged.where(F.col("defect").isNotNull()).select("kind", "record_id", "defect")
+    last = judged.where(F.col("defect").isNull()).select("kind", "record_id", F.posexplode("contexts").alias("at", "context"))
+    d = last.join(ends, "context", "left").select("kind", "record_id", F.struct("at", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("n", F.lit(0)).alias("n")).alias("c"))
+    d = d.groupBy("kind", "record_id").agg(F.collect_list("c").alias("c")).where(end_likelihood(F.col("c")) < least)
+    return known.unionByName(d.select("kind", "record_id", F.lit("truncated").alias("defect")))

@@ -201,6 +201,24 @@ def test_counts_of_ends_equal_contexts_word_by_word():
     assert (seen == want_n).all() and (ends == want_e).all() and seen.sum() > 0
 
 
+def test_contexts_are_counted_apart_however_many(spark):
+    r = random.Random(4)
+    texts = [" ".join(chr(0x2200 + r.randrange(200)) for _ in range(r.randrange(5))) for _ in range(3000)]
+    d = spark.createDataFrame([(t,) for t in texts], "answer string")
+    common, counts = pairs.end_counts(d)
+    got = {r.context: (r.e, r.n) for r in counts.collect()}
+    want = {}
+    for t in texts:
+        words = pairs._shape(pairs._tokens(t), common)
+        for i in range(len(words)):
+            for c in pairs._context_hashes(words, [pairs._word_hash(w) for w in words], i):
+                c -= (c >> 63) << 64
+                e, n = want.get(c, (0, 0))
+                want[c] = e + (i + 1 == len(words)), n + 1
+    slots = {(c & 2**64 - 1) >> 20 & pairs.SLOTS - 1 for c in got}
+    assert got == want and len(slots) < len(got)  # some would share a slot of a fixed table
+
+
 def test_language_path_is_the_cheapest():
     from itertools import product
 
