@@ -47,11 +47,21 @@ def dense_topk(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.cosine_top(v, v.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"))
 
 
-def seed_weights(spark: SparkSession, folder: str) -> DataFrame:
+def _softmax(d: DataFrame) -> DataFrame:
     w = W.partitionBy("query_id")
     e = F.exp((F.col("score") - F.max("score").over(w)) / 0.05)
-    d = dense_topk(spark, folder).withColumn("e", e)
-    return d.select("query_id", "vec_id", F.round(F.col("e") / F.sum("e").over(w), 5).alias("weight"))
+    return d.withColumn("e", e).select("query_id", "vec_id", F.round(F.col("e") / F.sum("e").over(w), 5).alias("weight"))
+
+
+def seed_weights(spark: SparkSession, folder: str) -> DataFrame:
+    """Over the 5 nearest only, as its SQL; seed_weights_64 has all seeds."""
+    return _softmax(dense_topk(spark, folder))
+
+
+def seed_weights_64(spark: SparkSession, folder: str) -> DataFrame:
+    """Over the 64 nearest, as the reference's build_seed_weights."""
+    v = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return _softmax(vectors.cosine_top(v, v.where(F.col("vec_id") % 20 == 0).withColumnRenamed("vec_id", "query_id"), 64))
 
 
 def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,9 +87,12 @@ def spectral_bands(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("node", *[F.round(c, 6).alias(c) for c in ("raw", "low", "mid", "high")])
 
 
+def _seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return table(spark, folder, "customer").where(F.col("c_custkey") % 20 == 0).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
+
+
 def hop_reach(spark: SparkSession, folder: str) -> DataFrame:
-    seeds = table(spark, folder, "customer").where(F.col("c_custkey") % 20 == 0).select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"))
-    return graph.hops(graph.symmetric(_incidence(spark, folder)), seeds)
+    return graph.hops(graph.symmetric(_incidence(spark, folder)), _seeds(spark, folder))
 
 
 def verify_evidence(spark: SparkSession, folder: str) -> DataFrame:
@@ -163,6 +176,6 @@ def response_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, rrf_fusion, graph_degree, spectral_bands, hop_reach, verify_evidence,
+    document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, seed_weights_64, rrf_fusion, graph_degree, spectral_bands, hop_reach, verify_evidence,
     ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, limiter_window, response_cache)}
 SQL = sql.SQL

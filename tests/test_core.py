@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_tokens, f1
 from factweave.operators import corpus, graph, ranking, scan, vectors
+from factweave.plans import queries
 
 
 def _scores(spark, rows):
@@ -81,6 +82,19 @@ def test_hops(spark):
     assert {r.node: r.hops for r in d.collect()} == {"n0": 0, "n1": 1, "n2": 2, "n3": 3}
 
 
+def test_seed_weights_of_64_seeds(spark, tmp_path):
+    m = np.random.default_rng(2).normal(size=(90, 6))
+    spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {}
+    for r in queries.seed_weights_64(spark, str(tmp_path)).collect():
+        got.setdefault(r.query_id, {})[r.vec_id] = r.weight
+    u = m / np.linalg.norm(m, axis=1, keepdims=True)
+    for q in range(0, 90, 20):
+        best = sorted((j for j in range(90) if j != q), key=lambda j: (-round(float(u[q] @ u[j]), 6), j))[:64]
+        e = np.exp((u[best] @ u[q]) / 0.05)
+        assert set(got[q]) == set(best) and [got[q][j] for j in best] == pytest.approx(e / e.sum(), abs=2e-5)
+
+
 def test_cosine_against_brute_force_in_blocks(spark):
     m = np.random.default_rng(1).normal(size=(60, 8))
     m[7] = 0
