@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_tokens, f1
-from factweave.operators import corpus, graph, ranking, vectors
+from factweave.operators import corpus, graph, limiter, ranking, vectors
 from factweave.plans import sql
 from factweave.sources.tables import table
 
@@ -166,10 +166,18 @@ def context_budget(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def limiter_window(spark: SparkSession, folder: str) -> DataFrame:
+    """By calendar minute, as its SQL; limiter_sliding has the reference's trailing window."""
     d = table(spark, folder, "events").groupBy("user_id", F.window("ts", "60 seconds").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
     return d.select("user_id", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > 2).alias("limited"))
 
 
+def limiter_sliding(spark: SparkSession, folder: str) -> DataFrame:
+    d = table(spark, folder, "events").where(F.col("ts").isNotNull())
+    d = d.select("event_id", "user_id", "ts", limiter.micros(d, "ts").alias("at"))
+    d = limiter.admitted(limiter.trailing(d, "user_id", "at", 60_000_000), "user_id", "at", "event_id", 2, 60_000_000)
+    return d.select("event_id", "user_id", "ts", "trailing", "admitted")
+
+
 def response_cache(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "llm_responses").where(F.col("cache_key").isNotNull())
     return d.groupBy("cache_key").agg(F.count(F.lit(1)).alias("writes"), F.sha2(F.max("response"), 256).alias("digest"))
@@ -177,5 +185,5 @@ def response_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, seed_weights_64, rrf_fusion, graph_degree, spectral_bands, hop_reach, verify_evidence,
-    ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, limiter_window, response_cache)}
+    ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, limiter_window, limiter_sliding, response_cache)}
 SQL = sql.SQL

@@ -1,11 +1,12 @@
 import math
+import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_tokens, f1
-from factweave.operators import corpus, graph, ranking, scan, vectors
+from factweave.operators import corpus, graph, limiter, ranking, scan, vectors
 from factweave.plans import queries
 
 
@@ -82,6 +83,21 @@ def test_hops(spark):
     assert {r.node: r.hops for r in d.collect()} == {"n0": 0, "n1": 1, "n2": 2, "n3": 3}
 
 
+def test_limiter_against_brute_force(spark):
+    r = random.Random(6)
+    rows = [(i, r.choice([1, 2, None]), r.randrange(600) * 500_000 + 3_599_900_000) for i in range(300)]
+    rows += [(900, 7, 50_000_000), (901, 7, 60_000_000), (902, 7, 70_000_000), (903, 7, 110_000_000)]  # across a minute
+    d = spark.createDataFrame(rows, "event_id int, user_id int, at bigint")
+    d = limiter.admitted(limiter.trailing(d, "user_id", "at", 60_000_000), "user_id", "at", "event_id", 2, 60_000_000)
+    got = {x.event_id: (x.trailing, x.admitted) for x in d.collect()}
+    want, room = {}, {}
+    for i, u, t in sorted(rows, key=lambda x: (x[2], x[0])):
+        held = [x for x in room.get(u, []) if t - x < 60_000_000]
+        want[i] = sum(v == u and 0 <= t - x < 60_000_000 for _, v, x in rows), len(held) < 2
+        room[u] = held + [t] * (len(held) < 2)
+    assert got == want and [got[i] for i in (900, 901, 902, 903)] == [(1, True), (2, True), (3, False), (3, True)]
+
+
 def test_seed_weights_of_64_seeds(spark, tmp_path):
     m = np.random.default_rng(2).normal(size=(90, 6))
     spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(m)], "vec_id bigint, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
