@@ -53,3 +53,14 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
         new = edges.join(front, "src").select(F.col("dst").alias("node")).distinct().join(reached, "node", "left_anti")
         reached = cut(reached.unionByName(new.withColumn("hops", F.lit(k))))
     return reached
+
+
+def seed_hops(edges: DataFrame, seeds: DataFrame, most: int = 4) -> DataFrame:
+    """seed, node, hops: the distance of every node from each seed on its own, up to ``most``. The lineage is cut at every step."""
+    front = cut(seeds.select(F.col("node").alias("seed"), "node").distinct().withColumn("hops", F.lit(0)))
+    reached = front
+    for k in range(1, most + 1):
+        new = edges.join(front.select("seed", F.col("node").alias("src")), "src").select("seed", F.col("dst").alias("node")).distinct()
+        front = cut(new.join(reached, ["seed", "node"], "left_anti").withColumn("hops", F.lit(k)))
+        reached = reached.unionByName(front)
+    return reached

@@ -92,9 +92,14 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def hop_reach(spark: SparkSession, folder: str) -> DataFrame:
+    """The nearest seed's distance only, as its SQL; hop_reach_seeds has every seed's."""
     return graph.hops(graph.symmetric(_incidence(spark, folder)), _seeds(spark, folder))
 
 
+def hop_reach_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    return graph.seed_hops(graph.symmetric(_incidence(spark, folder)), _seeds(spark, folder))
+
+
 def verify_evidence(spark: SparkSession, folder: str) -> DataFrame:
     e = _once(table(spark, folder, "benchmark_examples"), "example_id").select("example_id", F.explode("supporting_facts").alias("s")).select("example_id", "s.passage_id", "s.sentence_index").distinct()
     p = _once(table(spark, folder, "passages"), "passage_id").select("passage_id", F.size("sentences").alias("n"))
@@ -184,6 +189,6 @@ def response_cache(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, seed_weights_64, rrf_fusion, graph_degree, spectral_bands, hop_reach, verify_evidence,
+    document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, seed_weights_64, rrf_fusion, graph_degree, spectral_bands, hop_reach, hop_reach_seeds, verify_evidence,
     ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, limiter_window, limiter_sliding, response_cache)}
 SQL = sql.SQL

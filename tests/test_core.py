@@ -83,6 +83,14 @@ def test_hops(spark):
     assert {r.node: r.hops for r in d.collect()} == {"n0": 0, "n1": 1, "n2": 2, "n3": 3}
 
 
+def test_hops_of_every_seed(spark):
+    chain = spark.createDataFrame([(f"n{i}", f"n{i + 1}", 1.0) for i in range(8)], "entity string, fact string, weight double")
+    seeds = spark.createDataFrame([("n0",), ("n3",), ("n3",)], "node string")
+    d = graph.seed_hops(graph.symmetric(chain), seeds, 3)
+    got = [(r.seed, r.node, r.hops) for r in d.collect()]
+    assert sorted(got) == sorted((f"n{s}", f"n{i}", abs(s - i)) for s in (0, 3) for i in range(9) if abs(s - i) <= 3)
+
+
 def test_limiter_against_brute_force(spark):
     r = random.Random(6)
     rows = [(i, r.choice([1, 2, None]), r.randrange(600) * 500_000 + 3_599_900_000) for i in range(300)]
