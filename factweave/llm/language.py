@@ -98,7 +98,7 @@ class Bayes:
 class Compression:
     """The compressed size of a text with a zstandard raw-content dictionary per language."""
 
-    LEVEL = 5
+    LEVEL = 6
 
     def __init__(self, dictionaries: list[bytes]):
         self.raw, self._made = dictionaries, None

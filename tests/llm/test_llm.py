@@ -157,6 +157,19 @@ def test_segments_of_mixed_text(model):
     assert language.segment("TE-3840 1 2 3", model[0]) == [] and language.segment(None, model[0]) == []
 
 
+def test_sizes_are_those_of_level_6(model):
+    import zstandard
+
+    text = " ".join(EN + DE)
+    for raw, got in zip(model[0].raw, model[0].sizes(text)):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT) if len(raw) >= 64 else None
+        if d:
+            d.precompute_compress(level=6)
+        z = zstandard.ZstdCompressor(level=6, dict_data=d, write_content_size=False, write_dict_id=False)
+        assert got == len(z.compress(text.lower().encode()))
+    assert language.Compression.LEVEL == 6
+
+
 def test_labels_of_any_notation(spark):
     d = spark.createDataFrame([("EN-gb",), (" german",), ("fra",), ("und",), ("",), (None,), ("mul",)], "l string")
     assert [r[0] for r in d.select(language.label(F.col("l"))).collect()] == ["en", "de", "fr", None, None, None, None]
