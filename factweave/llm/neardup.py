@@ -1,23 +1,28 @@
 """Near-duplicate records by anchor-point covering.
 
 A record is the multiset of its words. Records with the same multiset are one class; all
-further work is on classes. A class gets 1-bit min-hashes: two classes of similarity J
-differ in any one bit with probability (1 - J) / 2. The bits are cut into BLOCKS
-fingerprints of 23 bits. Anchors are the 4096 words of the perfect binary Golay code,
-whose covering radius is 3. A fingerprint lives at its own anchor (the only one within
-3), and visits every anchor within radius + threshold = 4: if two fingerprints differ in at most
-THRESHOLD = 1 bit, the one visits the anchor where the other lives, without exception.
-Classes are compared per anchor, residents with visitors, first by 128 bits, then
-exactly by the words themselves.
-
-Whether two classes meet is then a matter of the min-hashes alone: at J = 0.8 a block
-agrees to within one bit with probability 0.31, and one of 16 with 0.998; at J = 0.7
-with 0.87 (see recall(); the README has measured recall).
+further work is on classes. A class has a pool of min-hashes: two classes of similarity J
+agree in any one of them with probability J, and in one bit of it with (1 + J) / 2.
+
+A fingerprint is a word of ``symbols`` whole min-hashes and 7 one-bit min-hashes. Anchors
+are the words of a covering code of such words: every choice of symbols, with the 16 words
+of the perfect Hamming code on the bits. The code's covering radius is 1 (a bit; the
+symbols are met exactly). A fingerprint lives at its own anchor, the only one within 1, and
+visits every anchor with its symbols within radius + threshold = 2: if two fingerprints with
+equal symbols differ in at most THRESHOLD = 1 bit, the one visits the anchor where the
+other lives, without exception. Classes are compared per anchor, first by two bits of 96
+min-hashes, then exactly by the words themselves.
+
+The anchor space grows with the data: a symbol more for each ten times as many records, so that
+the classes one class is compared with stay about as many (see plan). Each class has several
+independent fingerprints, as many as it takes for two classes of the least similarity
+to meet with probability RECALL (see meets and recall).
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,53 +31,45 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS, RADIUS, THRESHOLD = 23, 3, 1
-BLOCKS = 16
-CHECK_BITS = 36  # of 128; at J = 0.7 the mean is 19 and the deviation 4
-_MASK = (1 << BITS) - 1
-_GENERATOR = 0b101011100011  # x^11 + x^9 + x^7 + x^6 + x^5 + x + 1
+BITS, RADIUS, THRESHOLD = 7, 1, 1
+RECALL = 0.98  # of pairs exactly at the least similarity, before the check by CHECK
+AT_ANCHOR = 1000  # records for which no symbol would be needed
+CHECK = 37  # of 96 differing two-bit min-hashes; at J = 0.7 the mean is 21.6 and the deviation 4.1
+STEP = 4096  # elements that are hashed at once
+CHECKS = ("c0", "c1", "c2")
+_M1, _M2, _M3 = (np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0x9E3779B97F4A7C15))
 
 
-def recall(similarity: float, blocks: int = BLOCKS) -> float:
-    """The probability that two classes of this similarity meet at an anchor."""
-    p = (1 - similarity) / 2
-    one = (1 - p) ** BITS + BITS * p * (1 - p) ** (BITS - 1)
-    return 1 - (1 - one) ** blocks
+@functools.cache
+def _code() -> tuple[np.ndarray, np.ndarray]:
+    """Per 7-bit word: its own anchor, and the anchors at distance 2 (padded with -1)."""
+    syndrome = lambda w: functools.reduce(int.__xor__, (i + 1 for i in range(BITS) if w >> i & 1), 0)
+    anchors = np.array([w for w in range(1 << BITS) if not syndrome(w)])
+    far = np.bitwise_count(np.arange(1 << BITS)[:, None] ^ anchors)
+    away = [anchors[f == RADIUS + THRESHOLD] for f in far]
+    width = max(map(len, away))
+    return anchors[far.argmin(axis=1)], np.array([[*a, *[-1] * (width - len(a))] for a in away])
 
 
 @functools.cache
-def _code() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per syndrome: the error of weight <= 3, and the errors of weight 4 (padded with -1)."""
-
-    def syndrome(e: np.ndarray) -> np.ndarray:
-        e = e.copy()
-        for i in range(BITS - 1, 10, -1):
-            e = np.where((e >> i) & 1, e ^ (_GENERATOR << (i - 11)), e)
-        return e
-
-    from itertools import combinations
-
-    near = np.full(2048, -1, np.int64)
-    for w in range(RADIUS + 1):
-        e = np.array([sum(1 << i for i in c) for c in combinations(range(BITS), w)] or [0], np.int64)
-        near[syndrome(e)] = e
-    e = np.array([sum(1 << i for i in c) for c in combinations(range(BITS), RADIUS + THRESHOLD)], np.int64)
-    s = syndrome(e)
-    order = np.argsort(s, kind="stable")
-    first = np.searchsorted(s[order], np.arange(2049))
-    far = np.full((2048, int(np.diff(first).max())), -1, np.int64)
-    for k in range(2048):
-        far[k, : first[k + 1] - first[k]] = e[order[first[k] : first[k + 1]]]
-    table = syndrome(np.arange(1 << 12, dtype=np.int64) << 11)  # of the high bits; the low bits are their own
-    return near, far, table
-
-
-def anchors(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The own anchor of every fingerprint, and those at distance 4 (-1: none)."""
-    near, far, table = _code()
-    s = table[prints >> 11] ^ (prints & 2047)
-    away = far[s]
-    return prints ^ near[s], np.where(away < 0, -1, prints[:, None] ^ away)
+def meets(similarity: float) -> float:
+    """The probability that the bits of one fingerprint meet at an anchor."""
+    own, _ = _code()
+    p, words = (1 - similarity) / 2, np.arange(1 << BITS)
+    within = (np.bitwise_count(own[:, None] ^ words[:, None] ^ words) <= RADIUS + THRESHOLD).mean(axis=0)
+    k = np.bitwise_count(words)
+    return float((p**k * (1 - p) ** (BITS - k) * within).sum())
+
+
+def recall(similarity: float, symbols: int, blocks: int) -> float:
+    """The probability that two classes of this similarity meet in one of ``blocks`` fingerprints."""
+    return 1 - (1 - similarity**symbols * meets(similarity)) ** blocks
+
+
+def plan(records: int, least: float) -> tuple[int, int]:
+    """(symbols, blocks) for so many records: unrelated texts agree in a symbol one time in ten or less."""
+    symbols = max(1, round(math.log10(max(records, 1) / AT_ANCHOR)))
+    return symbols, math.ceil(math.log(1 - RECALL) / math.log(1 - least**symbols * meets(least)))
 
 
 _UNSPACED = "฀-๿㐀-䶿一-鿿豈-﫿぀-ヿ々ー"
@@ -120,149 +117,164 @@ def _elements(text: str) -> np.ndarray:
 
 
 @functools.cache
-def _hash_functions(seed: int = 7) -> tuple[np.ndarray, np.ndarray]:
+def _pool(symbols: int, blocks: int, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors and summands of the pool's hash functions, and per fingerprint the ones that it uses."""
+    size = max(96, blocks * (symbols + BITS))
     r = np.random.default_rng(seed)
-    return r.integers(0, 2**63, 384, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, 384, dtype=np.uint64)
+    a, b = r.integers(0, 2**63, size, dtype=np.uint64) * np.uint64(2) + np.uint64(1), r.integers(0, 2**63, size, dtype=np.uint64)
+    return a, b, r.permutation(size)[: blocks * (symbols + BITS)].reshape(blocks, symbols + BITS)
+
+
+def min_hashes(elements: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A row of min-hashes for each record; ``elements`` of all records in turn, none without any.
+
+    They are folded STEP elements at a time, so that the longest text takes no more memory.
+    """
+    out = np.full((len(starts), len(a)), np.iinfo(np.uint64).max, np.uint64)
+    for s in range(0, len(elements), STEP):
+        h = elements[s : s + STEP, None] * a
+        h += b
+        h ^= h >> np.uint64(29)
+        h *= _M1
+        first, last = np.searchsorted(starts, [s, s + len(h) - 1], "right") - 1
+        low = np.minimum.reduceat(h, np.maximum(starts[first : last + 1] - s, 0), axis=0)
+        np.minimum(out[first : last + 1], low, out=out[first : last + 1])
+    return out
+
+
+def _bits(h: np.ndarray, n: int) -> np.ndarray:
+    return ((h ^ (h >> np.uint64(32))) * _M2) >> np.uint64(64 - n)
 
 
-def fingerprint(elements: np.ndarray) -> np.ndarray:
-    """384 bits as six 64-bit words: one bit of each of 384 min-hashes."""
-    a, b = _hash_functions()
-    h = elements[:, None] * a + b
-    h ^= h >> np.uint64(29)
-    h = (h * np.uint64(0xBF58476D1CE4E5B9)).min(axis=0)
-    h ^= h >> np.uint64(32)
-    return np.packbits(((h * np.uint64(0x94D049BB133111EB)) >> np.uint64(63)).astype(np.uint8)).view(np.uint64)
+def placed(hashes: np.ndarray, uses: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per record the keys of the anchors where it lives, those it visits besides, and whether each of these exists."""
+    near, far = _code()
+    own, away, there = [], [], []
+    for k, use in enumerate(uses):
+        h = np.full(len(hashes), k + 1, np.uint64) * _M3
+        for i in use[:-BITS]:
+            h = (h ^ hashes[:, i]) * _M1
+            h ^= h >> np.uint64(31)
+        p = (_bits(hashes[:, use[-BITS:]], 1) << np.arange(BITS, dtype=np.uint64)).sum(axis=1).astype(np.int64)
+        key = lambda anchor, h=h: (h + (anchor + 1).astype(np.uint64)) * _M2
+        own.append(key(near[p]))
+        away += [key(x) for x in far[p].T]
+        there += [x >= 0 for x in far[p].T]
+    return tuple(np.stack(x, axis=1) for x in (own, away, there))
 
 
 def classes(records: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per key: key, class_id, elements, prints, and the copy_id of the records.
+    """One row per record: key, class_id, copy_id, elements. Null keys and records without words have none.
 
-    class_id is a hash of the words, so equal multisets share it. Records without words are in
-    no class. A key that occurs several times counts once (with the largest text).
+    class_id is a hash of the words, so equal multisets share it.
     """
-    one = records.groupBy(key).agg(F.max(F.struct(text, "copy_id")).alias("__one")).where(F.col(key).isNotNull())
-    one = one.select(key, f"__one.{text}", "__one.copy_id")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, ids, sets, prints, stored = [], [], [], [], []
-            for k, t, c in zip(*(x.to_pylist() for x in b.columns)):
-                e = _elements(t or "")
-                if len(e):
-                    keys.append(k)
-                    ids.append(xxhash.xxh3_64_intdigest(e.tobytes()) - 2**63)
-                    sets.append(e.view(np.int64))
-                    prints.append(fingerprint(e).view(np.int64))
-                    stored.append(c)
+            sets = [_elements(t or "") for t in b.column(1).to_pylist()]
+            keep = [i for i, e in enumerate(sets) if len(e)]
+            ids = [xxhash.xxh3_64_intdigest(sets[i].tobytes()) - 2**63 for i in keep]
+            ends = np.cumsum([0] + [len(sets[i]) for i in keep])
+            values = np.concatenate([sets[i] for i in keep]).view(np.int64) if keep else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
+            keep = pa.array(keep, pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column(0).take(keep), pa.array(ids, pa.int64()), b.column(2).take(keep), lists], names=[key, "class_id", "copy_id", "elements"])
+
+    kind = dict(records.dtypes)[key]
+    d = records.where(F.col(key).isNotNull()).select(key, text, "copy_id")
+    return d.mapInArrow(read, f"`{key}` {kind}, class_id bigint, copy_id bigint, elements array<bigint>")
+
+
+def members_of(each: DataFrame, key: str) -> DataFrame:
+    """key, class_id, copy_id of every record once; of rows with the same key the greatest counts."""
+    one = each.groupBy(key).agg(F.max(F.struct("class_id", "copy_id")).alias("m"))
+    return one.select(key, "m.class_id", "m.copy_id")
+
+
+def anchored(found: DataFrame, symbols: int, blocks: int) -> DataFrame:
+    """class_id, n (words), c0 to c2 (two bits of 96 min-hashes), own and away (keys of anchors) of every class."""
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b, uses = _pool(symbols, blocks)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists = batch.column("elements")
+            size = np.diff(lists.offsets.to_numpy())
+            hashes = min_hashes(lists.flatten().to_numpy().view(np.uint64), np.cumsum(size) - size, a, b)
+            own, away, there = placed(hashes, uses)
+            check = (_bits(hashes[:, :96], 2).reshape(-1, 3, 32) << np.arange(0, 64, 2, dtype=np.uint64)).sum(axis=2).view(np.int64)
+            ends = lambda n: pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, b.column(0).type), pa.array(ids, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(prints, pa.list_(pa.int64())), pa.array(stored, pa.string())],
-                names=[key, "class_id", "elements", "prints", "copy_id"],
-            )
+                [
+                    batch.column("class_id"), pa.array(size.astype(np.int32)), *(pa.array(c) for c in check.T),
+                    pa.ListArray.from_arrays(ends(np.full(len(own), own.shape[1])), pa.array(own.ravel().view(np.int64))),
+                    pa.ListArray.from_arrays(ends(there.sum(axis=1)), pa.array(away[there].view(np.int64))),
+                ],
+                names=["class_id", "n", *CHECKS, "own", "away"],
+            )
 
-    kind = dict(one.dtypes)[key]
-    return one.mapInArrow(read, f"`{key}` {kind}, class_id bigint, elements array<bigint>, prints array<bigint>, copy_id string")
+    return found.mapInArrow(place, "class_id bigint, n int, c0 bigint, c1 bigint, c2 bigint, own array<bigint>, away array<bigint>")
 
 
-def _placed(light: DataFrame, visits: bool) -> DataFrame:
-    """One row per class, block and anchor: where it lives, and with ``visits`` also where it visits."""
-    return light.mapInArrow(lambda batches: _place(batches, visits), "anchor int, class_id bigint, n int, c0 bigint, c1 bigint")
+def candidates(light: DataFrame, least: float) -> DataFrame:
+    """Distinct (a, b) of classes a < b that meet at an anchor and pass the check of bits and sizes.
 
-
-def _place(batches: Iterator[pa.RecordBatch], visits: bool) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if not b.num_rows:
-            continue
-        ids = b.column("class_id").to_numpy()
-        size = b.column("n").to_numpy()
-        bits = b.column("prints").flatten().to_numpy().view(np.uint64).reshape(-1, 6)
-        out = []
-        for k in range(BLOCKS):
-            p = ((bits[:, k * 24 // 64] >> np.uint64(k * 24 % 64)) & np.uint64(_MASK)).astype(np.int64)
-            if k * 24 % 64 + BITS > 64:
-                p |= ((bits[:, k * 24 // 64 + 1] << np.uint64(64 - k * 24 % 64)) & np.uint64(_MASK)).astype(np.int64)
-            own, away = anchors(p)
-            r, c = np.nonzero(away >= 0) if visits else (np.empty(0, np.int64), np.empty(0, np.int64))
-            out.append((np.concatenate([np.arange(len(ids)), r]), np.concatenate([own, away[r, c]]) | (k << BITS)))
-        who, at = (np.concatenate(x) for x in zip(*out))
-        v = bits.view(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(at.astype(np.int32)), pa.array(ids[who]), pa.array(size[who]), pa.array(v[who, 0]), pa.array(v[who, 1])],
-            names=["anchor", "class_id", "n", "c0", "c1"],
-        )
-
-
-def class_pairs(found: DataFrame, least: float) -> DataFrame:
-    """(a, b, similarity) of classes a < b whose exact similarity is at least ``least``.
-
-    The join per anchor is left to Spark: an anchor that many classes share is split by
-    adaptive skew handling. The covering holds in either direction, so the class with the smaller
-    id stays where it lives and only the other one visits: each block finds a pair once.
+    The covering holds in either direction, so the class with the smaller id stays where it
+    lives and only the other one visits. The join is a sort-merge join whatever the planner
+    believes of the sizes; an anchor that many classes share is split by adaptive skew handling.
     """
-    light = found.select("class_id", F.size("elements").alias("n"), "prints")
-    x, y = _placed(light, visits=False).alias("x"), _placed(light, visits=True).alias("y")
-    far = F.bit_count(F.col("x.c0").bitwiseXOR(F.col("y.c0"))) + F.bit_count(F.col("x.c1").bitwiseXOR(F.col("y.c1")))
-    fits = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)) & (far <= CHECK_BITS)
-    met = x.join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.class_id") < F.col("y.class_id")) & fits)
-    met = met.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    at = lambda c: light.select(F.explode(c).alias("anchor"), "class_id", "n", *CHECKS)
+    x = at("own").alias("x")
+    differ = [F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}")) for c in CHECKS]
+    far = sum(F.bit_count(d.bitwiseOR(F.shiftright(d, 1)).bitwiseAND(F.lit(0x5555555555555555))) for d in differ)
+    fits = (F.least("x.n", "y.n") >= F.greatest("x.n", "y.n") * F.lit(least)) & (far <= CHECK)
+    met = []
+    for c in ("own", "away"):
+        y = at(c).alias("y")
+        d = x.hint("merge").join(y, (F.col("x.anchor") == F.col("y.anchor")) & (F.col("x.class_id") < F.col("y.class_id")) & fits)
+        met.append(d.select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")))
+    return met[0].unionByName(met[1]).distinct()
+
+
+def class_pairs(found: DataFrame, met: DataFrame, least: float) -> DataFrame:
+    """(a, b, similarity) of the candidates whose exact similarity is at least ``least``."""
     sets = found.select("class_id", "elements")
-    d = met.join(sets.toDF("a", "ea"), "a").join(sets.toDF("b", "eb"), "b")
+    d = met.join(sets.toDF("a", "ea").hint("merge"), "a").join(sets.toDF("b", "eb").hint("merge"), "b")
     common = F.size(F.array_intersect("ea", "eb"))
     d = d.select("a", "b", (common / (F.size("ea") + F.size("eb") - common)).alias("similarity"))
     return d.where(F.col("similarity") >= least)
 
 
-def _units(members: DataFrame, key: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """Units (class_id, unit, n) and their members in blocks (class_id, unit, no, ids) of about ``block``.
-
-    True copies (equal copy_id) beyond ``block`` are a unit of their own; all other members of a
-    class are its unit ''.
-    """
-    m = members if "copy_id" in members.columns else members.withColumn("copy_id", F.lit(""))
-    if "copy_id" in members.columns:
-        large = m.groupBy("class_id", "copy_id").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block)
-        m = m.join(large, ["class_id", "copy_id"], "left").withColumn("unit", F.when(F.col("k").isNotNull(), F.col("copy_id")).otherwise(""))
-    else:
-        m = m.withColumn("unit", F.lit(""))
-    m = m.select("class_id", "unit", F.col(key).alias("id"))
-    sizes = m.groupBy("class_id", "unit").agg(F.count(F.lit(1)).alias("k")).select("class_id", "unit", F.ceil(F.col("k") / block).alias("n"))
-    no = F.pmod(F.xxhash64("id"), F.col("n"))
-    blocks = m.join(sizes, ["class_id", "unit"]).groupBy("class_id", "unit", no.alias("no")).agg(F.collect_list("id").alias("ids"))
-    return sizes, blocks
-
-
 def member_pairs(members: DataFrame, pairs: DataFrame, key: str, block: int = 64) -> DataFrame:
     """(a, b) of member keys a < b: all pairs of members within and between similar classes.
 
-    members: key, class_id and, where known, copy_id: members of equal copy_id are true copies.
-    Only more than ``block`` true copies of one text are reduced: each is linked to the smallest key
-    among them (see copies). Every pair of different texts is given, however large the
-    classes: members are joined block by block, so that no task holds a whole class.
+    members: key, class_id, copy_id (members of equal copy_id are true copies). Only more than
+    ``block`` true copies of one text are reduced: each is linked to the smallest key among
+    them (see copies). Every pair of different texts is given, however large the classes. Pairs of
+    texts are joined with their members, so that work grows with the pairs that come out.
     """
-    sizes, blocks = _units(members, key, block)
-    u, v = sizes.toDF("a", "ua", "na"), sizes.toDF("b", "ub", "nb")
-    between = pairs.select("a", "b").join(u, "a").join(v, "b")
-    within = u.join(v, (F.col("a") == F.col("b")) & (F.col("ua") <= F.col("ub")) & ((F.col("ua") != F.col("ub")) | (F.col("ua") == "")))
-    same = (F.col("a") == F.col("b")) & (F.col("ua") == F.col("ub"))
-    d = between.unionByName(within).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("na") - 1)))
-    d = d.withColumn("j", F.explode(F.sequence(F.when(same, F.col("i")).otherwise(0), F.col("nb") - 1)))
-    d = d.join(blocks.toDF("a", "ua", "i", "p"), ["a", "ua", "i"]).join(blocks.toDF("b", "ub", "j", "q"), ["b", "ub", "j"])
-    d = d.select(F.explode("p").alias("p"), "q", (same & (F.col("i") == F.col("j"))).alias("one")).select("p", F.explode("q").alias("q"), "one")
-    out = d.where(~F.col("one") | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
-    if "copy_id" not in members.columns:
-        return out
+    texts = members.groupBy("class_id", "copy_id").agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("first"))
+    t = lambda c, t: texts.select(F.col("class_id").alias(c), F.col("copy_id").alias(t)).hint("merge")
+    between = pairs.select("a", "b").join(t("a", "ta"), "a").join(t("b", "tb"), "b")
+    within = t("a", "ta").join(t("b", "tb"), (F.col("a") == F.col("b")) & (F.col("ta") < F.col("tb")))
+    same = texts.where(F.col("k").between(2, block)).select(F.col("class_id").alias("a"), F.col("class_id").alias("b"), F.col("copy_id").alias("ta"), F.col("copy_id").alias("tb"))
+    m = members.select("class_id", "copy_id", key)
+    d = between.unionByName(within).unionByName(same).join(m.toDF("a", "ta", "p").hint("merge"), ["a", "ta"]).join(m.toDF("b", "tb", "q").hint("merge"), ["b", "tb"])
+    one = (F.col("a") == F.col("b")) & (F.col("ta") == F.col("tb"))
+    out = d.where(~one | (F.col("p") < F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
     links = copies(members, key, block).where(F.col("copy_of") != F.col(key))
     return out.unionByName(links.select(F.col("copy_of").alias("a"), F.col(key).alias("b")))
 
 
 def copies(members: DataFrame, key: str, more_than: int = 1) -> DataFrame:
-    """key, copy_of: the smallest key with the same stored text, for texts that ``more_than`` keys share."""
+    """key, copy_of: the smallest key with the same stored text, for texts that more than ``more_than`` keys share."""
     d = members.groupBy("class_id", "copy_id").agg(F.count(F.lit(1)).alias("k"), F.min(key).alias("copy_of")).where(F.col("k") > more_than)
-    return members.join(d, ["class_id", "copy_id"]).select(key, "copy_of")
+    return members.join(d.hint("merge"), ["class_id", "copy_id"]).select(key, "copy_of")
 
 
 def passage_text(passages: DataFrame) -> DataFrame:
     """passage_id, its title and sentences as one text (null parts are left out), and copy_id, a hash of both as stored."""
     parts = F.concat(F.array("title"), F.coalesce("sentences", F.array().cast("array<string>")))
     stored = F.to_json(F.struct("title", "sentences"))
-    return passages.select("passage_id", F.array_join(parts, " ").alias("text"), F.md5(stored).alias("copy_id"))
+    return passages.select("passage_id", F.array_join(parts, " ").alias("text"), F.xxhash64(stored).alias("copy_id"))

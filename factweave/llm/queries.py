@@ -24,12 +24,17 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def _copies(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Members and classes of the passages, cut before they are read several times."""
     each = cut(neardup.classes(neardup.passage_text(table(spark, folder, "passages")), "passage_id", "text"))
-    return each.select("passage_id", "class_id", "copy_id"), each.drop("passage_id", "copy_id").dropDuplicates(["class_id"])
+    return neardup.members_of(each, "passage_id"), each.select("class_id", "elements").dropDuplicates(["class_id"])
+
+
+def _similar(found: DataFrame, records: int, least: float = 0.7) -> DataFrame:
+    light = cut(neardup.anchored(found, *neardup.plan(records, least)))
+    return cut(neardup.class_pairs(found, neardup.candidates(light, least), least))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     members, found = _copies(spark, folder)
-    pairs = neardup.member_pairs(members, cut(neardup.class_pairs(found, 0.7)), "passage_id")
+    pairs = neardup.member_pairs(members, _similar(found, table(spark, folder, "passages").count()), "passage_id")
     return pairs.select(F.col("a").alias("passage_a"), F.col("b").alias("passage_b"))
 
 

@@ -36,7 +36,20 @@ def _jaccard(a, b):
     return len(x & y) / len(x | y) if x | y else 0.0
 
 
-def test_near_duplicates_against_brute_force(spark):
+def _near(spark, rows, least=0.7, records=None):
+    """Members and pairs of classes as p3_found has them; ``records``: as if there were so many."""
+    each = neardup.classes(neardup.passage_text(_passages(spark, rows)), "passage_id", "text").cache()
+    found = each.select("class_id", "elements").dropDuplicates(["class_id"])
+    light = neardup.anchored(found, *neardup.plan(records or len(rows), least)).cache()
+    return neardup.members_of(each, "passage_id"), neardup.class_pairs(found, neardup.candidates(light, least), least)
+
+
+def _pairs_of(texts, least=0.7):
+    return {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if _jaccard(texts[i], texts[j]) >= least}
+
+
+@pytest.mark.parametrize("records", [None, 2_000_000])
+def test_near_duplicates_against_brute_force(spark, records):
     r = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     texts = []
@@ -47,13 +60,43 @@ def test_near_duplicates_against_brute_force(spark):
             other = [w if r.random() > 0.06 else r.choice(words) for w in base]
             r.shuffle(other)
             texts.append(other)
-    texts += [texts[0], []]
-    rows = [(f"p{i:03}", None, [" ".join(t), None]) for i, t in enumerate(texts)]
-    each = neardup.classes(neardup.passage_text(_passages(spark, rows)), "passage_id", "text").cache()
-    got = {(x.a, x.b) for x in neardup.member_pairs(each.select("passage_id", "class_id"), neardup.class_pairs(each.drop("passage_id").dropDuplicates(["class_id"]), 0.7), "passage_id").collect()}
-    flat = [" ".join(t) for t in texts]
-    want = {(rows[i][0], rows[j][0]) for i in range(len(rows)) for j in range(i + 1, len(rows)) if _jaccard(flat[i], flat[j]) >= 0.7}
-    assert got <= want and len(got) >= 0.9 * len(want) and ("p000", "p120") in got
+    flat = [" ".join(t) for t in [*texts, texts[0], []]]
+    rows = [(f"p{i:03}", None, [t, None]) for i, t in enumerate(flat)]
+    members, pairs = _near(spark, rows, records=records)
+    got = {(x.a, x.b) for x in neardup.member_pairs(members, pairs, "passage_id").collect()}
+    want = {(rows[i][0], rows[j][0]) for i, j in _pairs_of(flat)}
+    assert got <= want and len(got) >= 0.95 * len(want) and ("p000", "p120") in got
+
+
+@pytest.mark.parametrize("records", [None, 200_000])
+def test_pairs_just_above_the_threshold_are_found(spark, records):
+    r = random.Random(11)
+    texts = []
+    for k in range(500):  # 35 words in common of 35 + 2 n in all: similarity 0.7 to 0.745
+        n, common = r.choice([6, 7]), [f"c{k}x{i}" for i in range(35)]
+        texts += [" ".join(common + [f"{side}{k}x{i}" for i in range(n + (side == "a" and n == 7))]) for side in "ab"]
+    want = {(f"p{i:04}", f"p{j:04}") for i, j in ((2 * k, 2 * k + 1) for k in range(500)) if 0.7 <= _jaccard(texts[i], texts[j]) < 0.75}
+    members, pairs = _near(spark, [(f"p{i:04}", None, [t]) for i, t in enumerate(texts)], records=records)
+    got = {(x.a, x.b) for x in neardup.member_pairs(members, pairs, "passage_id").collect()}
+    assert len(want) > 200 and got <= want and len(got) >= 0.95 * len(want)
+
+
+def test_near_duplicate_joins_broadcast_nothing(spark):
+    members, pairs = _near(spark, [(f"p{i}", "t", [f"w{i} x y z"]) for i in range(20)])
+    d = neardup.member_pairs(members, pairs, "passage_id")
+    assert "Broadcast" not in d._jdf.queryExecution().executedPlan().toString()
+
+
+def test_min_hashes_of_slices_equal_those_of_the_whole():
+    r = np.random.default_rng(3)
+    sizes = [1, 9000, 3, 4096, 5]
+    e = r.integers(0, 2**63, sum(sizes)).astype(np.uint64)
+    a, b, uses = neardup._pool(2, 8)
+    starts = np.cumsum(sizes) - sizes
+    got = neardup.min_hashes(e, starts, a, b)
+    for k, (s, n) in enumerate(zip(starts, sizes)):
+        assert (got[k] == neardup.min_hashes(e[s : s + n], np.zeros(1, int), a, b)[0]).all()
+    assert len({x for use in uses for x in use}) == uses.size
 
 
 def test_large_classes_keep_every_pair_of_different_texts(spark):
@@ -62,10 +105,8 @@ def test_large_classes_keep_every_pair_of_different_texts(spark):
     texts = [" ".join(r.sample(base, 40)) for _ in range(70)] + [" ".join(r.sample([*base[1:], "x"], 40)) for _ in range(70)] + [" ".join(base)] * 80
     assert len(set(texts)) == 141
     rows = [(f"p{i:03}", None, [t]) for i, t in enumerate(texts)]
-    each = neardup.classes(neardup.passage_text(_passages(spark, rows)), "passage_id", "text").cache()
-    found = each.drop("passage_id", "copy_id").dropDuplicates(["class_id"])
-    members = each.select("passage_id", "class_id", "copy_id")
-    a, b = sorted(x.class_id for x in found.collect())
+    members, _ = _near(spark, rows)
+    a, b = sorted(x.class_id for x in members.select("class_id").distinct().collect())
     pairs = spark.createDataFrame([(a, b)], "a bigint, b bigint")
     got = [(x.a, x.b) for x in neardup.member_pairs(members, pairs, "passage_id").collect()]
     want = {(f"p{i:03}", f"p{j:03}") for i in range(220) for j in range(i + 1, 220) if texts[i] != texts[j]}
@@ -73,11 +114,21 @@ def test_large_classes_keep_every_pair_of_different_texts(spark):
     assert {(x.passage_id, x.copy_of) for x in neardup.copies(members, "passage_id").collect()} == {(f"p{j:03}", "p140") for j in range(140, 220)}
 
 
-def test_anchors_lie_within_the_radius():
-    own, away = neardup.anchors(np.arange(1 << 12, dtype=np.int64) * 1999 % (1 << 23))
-    p = np.arange(1 << 12, dtype=np.int64) * 1999 % (1 << 23)
-    assert np.bitwise_count(own ^ p).max() <= 3
-    assert set(np.bitwise_count((away ^ p[:, None])[away >= 0]).tolist()) == {4}
+def test_near_duplicates_of_nulls_and_empty_tables(spark):
+    members, pairs = _near(spark, [(None, "a", ["b"]), ("p", None, None), ("q", "", [None, " "]), ("r", "one", None), ("r", "one", None), ("s", "ONE.", [])])
+    assert [(x.a, x.b) for x in neardup.member_pairs(members, pairs, "passage_id").collect()] == [("r", "s")]
+    members, pairs = _near(spark, [])
+    assert neardup.member_pairs(members, pairs, "passage_id").count() == 0
+
+
+def test_anchors_cover_the_words():
+    own, away = neardup._code()
+    w = np.arange(128)
+    assert len(set(own.tolist())) == 16 and np.bitwise_count(own ^ w).max() <= 1
+    assert set(np.bitwise_count((away ^ w[:, None])[away >= 0]).tolist()) == {2}
+    for x in w:  # whatever differs in one bit meets
+        for y in (int(x) ^ 1 << i for i in range(7)):
+            assert own[x] in (own[y], *away[y])
 
 
 def test_sample_quotas_and_report(spark):
