@@ -8,7 +8,7 @@ parameters). They are applied to whole texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,7 +114,15 @@ class Compression:
         return self.table([text])[0]
 
     def table(self, texts: list[str]) -> np.ndarray:
-        """A row per text of the bytes per language; each dictionary takes all texts in turn."""
+        """A row per text of the bytes per language."""
+        return self.tables([(texts, range(len(LANGS)))])[0]
+
+    def tables(self, documents: list[tuple[list[str], Iterable[int]]]) -> list[np.ndarray]:
+        """Per document (texts, numbers of languages) a row per text of the bytes per language.
+
+        Each dictionary takes all texts that ask for it in turn, so that it stays in the cache.
+        A language that is not asked for counts as the text uncompressed.
+        """
         if self._made is None:
             self._made = []
             for raw in self.raw:
@@ -124,8 +132,15 @@ class Compression:
                     self._made.append(zstandard.ZstdCompressor(level=self.LEVEL, dict_data=d, write_content_size=False, write_dict_id=False))
                 else:
                     self._made.append(zstandard.ZstdCompressor(level=self.LEVEL, write_content_size=False))
-        b = [t.lower().encode("utf-8", "replace") for t in texts]
-        return np.array([list(map(len, map(z.compress, b))) for z in self._made], np.float64).T
+        raw = [[t.lower().encode("utf-8", "replace") for t in texts] for texts, _ in documents]
+        out = [np.repeat([[16.0 + len(x)] for x in own], len(LANGS), axis=1) for own in raw]
+        asked = [set(langs) for _, langs in documents]
+        for g, z in enumerate(self._made):
+            compress = z.compress
+            for own, costs, langs in zip(raw, out, asked):
+                if g in langs:
+                    costs[:, g] = [len(compress(x)) for x in own]
+        return out
 
     @classmethod
     def fit(cls, sample: list[tuple[str, str]], size: int = 1 << 16) -> Compression:
@@ -152,6 +167,23 @@ class Compression:
 
 _LETTERS, _WIDE, _FINAL = re.compile(r"[^\W\d_]+"), re.compile("[⺁-\uffff]+"), re.compile("[.!?。！？।؟]")
 _ENCLOSED = set("([{“„«「『（【\"'")
+# The letters of each script, and the languages written in it.
+_SCRIPTS = [
+    (re.compile("[A-Za-z\u00c0-\u024f]"), 1, ("en", "de", "fr", "es", "pt", "it")),
+    (re.compile("[\u0400-\u052f]"), 1, ("ru",)), (re.compile("[\u0600-\u06ff\u0750-\u077f\ufb50-\ufeff]"), 1, ("ar",)),
+    (re.compile("[\u0900-\u097f]"), 1, ("hi",)), (re.compile("[\u0e00-\u0e7f]"), 1, ("th",)),
+    (re.compile("[\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff]"), 3, ("zh", "ja")),
+]
+
+
+def written_in(text: str) -> frozenset[int]:
+    """Numbers of the languages whose script has a fifth of the letters or more; all, if there is none."""
+    if text.isascii():
+        held = [(1, _SCRIPTS[0][2])] if any(map(str.isalpha, text)) else []
+    else:
+        held = [(n * weight, langs) for letters, weight, langs in _SCRIPTS if (n := len(letters.findall(text)))]
+    total = sum(n for n, _ in held)
+    return frozenset(LANGS.index(g) for n, langs in held if 5 * n >= total for g in langs) or frozenset(range(len(LANGS)))
 
 
 def _cheapest(cost: np.ndarray, switch: float) -> list[int]:
@@ -171,20 +203,12 @@ def _cheapest(cost: np.ndarray, switch: float) -> list[int]:
     return lang[::-1]
 
 
-def segment(text: str | None, model: Compression, spaces: dict | None = None, switch: float = 7.0, least: float = 5.0) -> list[tuple[int, int, str, float]]:
-    """(start, end, lang, confidence) of the segments of whole sentences in one language.
-
-    The languages of the sentence units are the cheapest path over their compressed sizes, where
-    every change of language costs ``switch`` bytes: a change that saves less is rejected.
-    Headings, units without a final mark in brackets or quotes, and units of few letters
-    belong to what follows or precedes. A segment whose language is ahead by less than ``least``
-    bytes is rejected: it joins its neighbour, and a text of such segments alone has none.
-    Confidence is 1 - 2 ** (-lead in bytes / 8). Null and blank texts have no segments.
-    """
+def _judged(text: str | None, spaces: dict | None) -> tuple[list[tuple[int, int, bool]], list[int], list[str]] | None:
+    """(start, end, too weak to be judged) of the sentence units, the strong ones' numbers, and their texts."""
     parts = sentences.split(text, spaces)
     if not parts:
-        return []
-    units: list[tuple[int, int, bool]] = []  # the last: whether it is too weak to be judged
+        return None
+    units: list[tuple[int, int, bool]] = []
     for a, b in parts:
         s = text[a:b]
         letters = sum(map(len, _LETTERS.findall(s)))
@@ -193,13 +217,37 @@ def segment(text: str | None, model: Compression, spaces: dict | None = None, sw
         units.append((a, b, letters + 3 * wide < 12 or aside or s[0] == "#"))
     strong = [i for i, u in enumerate(units) if not u[2]]
     if strong:
-        cost = model.table([text[units[i][0] : units[i][1]] for i in strong])
-    else:
-        # headings alone may still be sentences of a language
-        a, b = parts[0][0], parts[-1][1]
-        if sum(map(str.isalpha, text[a:b])) < 12:
-            return []
-        units, strong, cost = [(a, b, False)], [0], model.table([text[a:b]])
+        return units, strong, [text[units[i][0] : units[i][1]] for i in strong]
+    # headings alone may still be sentences of a language
+    a, b = parts[0][0], parts[-1][1]
+    return ([(a, b, False)], [0], [text[a:b]]) if sum(map(str.isalpha, text[a:b])) >= 12 else None
+
+
+def segment(text: str | None, model: Compression, spaces: dict | None = None, switch: float = 7.0, least: float = 5.0) -> list[tuple[int, int, str, float]]:
+    """(start, end, lang, confidence) of the segments of whole sentences in one language (see segments_of)."""
+    return segments_of([text], model, spaces, switch, least)[0]
+
+
+def segments_of(texts: list[str | None], model: Compression, spaces: dict | None = None, switch: float = 7.0, least: float = 5.0) -> list[list[tuple[int, int, str, float]]]:
+    """Per text (start, end, lang, confidence) of the segments of whole sentences in one language.
+
+    The languages of the sentence units are the cheapest path over their compressed sizes, where
+    every change of language costs ``switch`` bytes: a change that saves less is rejected. A
+    text is compressed for the languages in whose scripts some unit of it is written.
+    Headings, units without a final mark in brackets or quotes, and units of few letters
+    belong to what follows or precedes. A segment whose language is ahead by less than ``least``
+    bytes is rejected: it joins its neighbour, and a text of such segments alone has none.
+    Confidence is 1 - 2 ** (-lead in bytes / 8). Null and blank texts have no segments.
+    """
+    out: list[list[tuple[int, int, str, float]]] = [[] for _ in texts]
+    judged = [(i, j) for i, t in enumerate(texts) if (j := _judged(t, spaces))]
+    costs = model.tables([(own, frozenset().union(*map(written_in, own))) for _, (_, _, own) in judged])
+    for (i, (units, strong, _)), cost in zip(judged, costs):
+        out[i] = _segments(texts[i], units, strong, cost, switch, least)
+    return out
+
+
+def _segments(text: str, units: list[tuple[int, int, bool]], strong: list[int], cost: np.ndarray, switch: float, least: float) -> list[tuple[int, int, str, float]]:
     lang = _cheapest(cost, switch)
     runs: list[list] = []  # language, first and last strong unit, cost
     for k, g in enumerate(lang):
@@ -244,8 +292,9 @@ def segments(documents: DataFrame, model: Compression, spaces: dict) -> DataFram
         kinds = [pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64()]
         for b in batches:
             rows = []
-            for i, old, t in zip(*(c.to_pylist() for c in b.columns)):
-                rows += [(i, old, no, *s) for no, s in enumerate(segment(t, zs, spaced), 1)]
+            ids, labels, texts = (c.to_pylist() for c in b.columns)
+            for i, old, found in zip(ids, labels, segments_of(texts, zs, spaced)):
+                rows += [(i, old, no, *s) for no, s in enumerate(found, 1)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(7)], names=names)
 
     return d.mapInArrow(run, schema)

@@ -291,3 +291,13 @@ def test_language_path_is_the_cheapest():
         cost = rng.integers(0, 12, (5, 3)).astype(float)
         price = lambda p: sum(cost[i, g] for i, g in enumerate(p)) + 4.0 * sum(a != b for a, b in zip(p, p[1:]))
         assert price(language._cheapest(cost, 4.0)) == min(map(price, product(range(3), repeat=5)))
+
+
+def test_languages_by_script(model):
+    names = lambda t: {language.LANGS[i] for i in language.written_in(t)}
+    latin = {"en", "de", "fr", "es", "pt", "it"}
+    assert names("Ein Satz.") == latin == names("Prüfung") and names("это текст") == {"ru"} and names("实验 kiln") == {"zh", "ja"}
+    assert names("สวัสดี") == {"th"} and names("यह है") == {"hi"} and names("هذا نص") == {"ar"} and len(names("12 !")) == 12
+    assert names("the kiln и это") == latin | {"ru"}
+    whole, some = model[0].table(EN + DE), model[0].tables([(EN + DE, language.written_in(EN[0])), ([], [3])])
+    assert (whole[:, :6] == some[0][:, :6]).all() and some[1].shape == (0, 12) and (some[0][:, 6:] > whole[:, :6].max()).all()
