@@ -4,11 +4,10 @@ Rows are hash-partitioned by group, sorted within partitions by (group, order, i
 and read as a stream of Arrow batches that emits the first N distinct items of each
 group. No group is held: the state is the current group's key and at most N items.
 
-Hot groups: groups are first counted in a fixed number of hash buckets (one pass over
-the group columns, map-side combined, a result of fixed size). Groups of buckets that
-hold an outsize share are split by a hash of the item into salts; each salt keeps N
-rows and a second, small secondary sort merges them. All rows of one item share a
-salt, so repeated items still count once, at their best place.
+The same is done first within every input partition, before anything is shuffled: an item
+among a group's first N is, where its best row lies, among the first N of that partition. So
+what a group sends is at most N rows from each input partition, however many rows it has, and no
+group, not even one with a third of all rows, is heavy in any task.
 """
 
 from __future__ import annotations
@@ -16,12 +15,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
-HOT_SHARE = 1 / 256
-
 
 def _first_n(group: list[str], item: str, n: int, out: list[str]):
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,37 +59,19 @@ def _first_n(group: list[str], item: str, n: int, out: list[str]):
     return emit
 
 
-def hot_buckets(df: DataFrame, bucket: Column, weight: Column | None = None) -> list[int]:
-    """The hash buckets that hold more than HOT_SHARE of all rows: at most 1 / HOT_SHARE numbers."""
-    total = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    rows = df.groupBy(bucket.alias("b")).agg(total.alias("n")).collect()
-    most = sum(r.n or 0 for r in rows) * HOT_SHARE
-    return [r.b for r in rows if (r.n or 0) > max(most, 1000)]
-
-
-def top_n_per_group(
-    df: DataFrame, group: list[str], order: list[str], item: str, n: int, sizes: DataFrame | None = None, weight: str | None = None, salts: int = 64
-) -> DataFrame:
+def top_n_per_group(df: DataFrame, group: list[str], order: list[str], item: str, n: int) -> DataFrame:
     """The first n distinct items of each group by the order columns ascending, then by item.
 
     Returns the group, order and item columns; others are dropped, so clashing names
     cannot arise. Ties in the order columns go to the smaller item. Repeated rows of an
     item count once, at the item's first place. Null groups form a group; rows with
     a null item or a null order column are left out. An empty input gives no rows.
-    ``sizes`` (group columns, ``weight``) may state the group sizes more cheaply than df.
     """
     cols = list(dict.fromkeys([*group, *order, item]))
     d = df.select(*cols).dropna(subset=[*order, item])
-    bucket = F.pmod(F.xxhash64(*group), F.lit(BUCKETS)).cast("int")
-    hot = hot_buckets(sizes if sizes is not None else d, bucket, F.col(weight) if weight else None)
-    schema = d.schema
-    if hot:
-        salt = F.when(bucket.isin(hot), F.pmod(F.xxhash64(item), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-        d = d.withColumn("__salt", salt)
-        d = d.repartition(*group, "__salt").sortWithinPartitions(*group, "__salt", *order, item)
-        d = d.mapInArrow(_first_n([*group, "__salt"], item, n, cols), schema)
-    d = d.repartition(*group).sortWithinPartitions(*group, *order, item)
-    return d.mapInArrow(_first_n(group, item, n, cols), schema)
+    first = _first_n(group, item, n, cols)
+    d = d.sortWithinPartitions(*group, *order, item).mapInArrow(first, d.schema)
+    return d.repartition(*group).sortWithinPartitions(*group, *order, item).mapInArrow(first, d.schema)
 
 
 def best_facts(facts: DataFrame, n: int = 5) -> DataFrame:
@@ -101,7 +79,7 @@ def best_facts(facts: DataFrame, n: int = 5) -> DataFrame:
     score = F.col("score").cast("double")
     d = facts.where(score.isNotNull() & ~F.isnan(score) & F.col("query_id").isNotNull() & F.col("fact_id").isNotNull())
     d = d.select("query_id", "source", F.when(score == 0, 0.0).otherwise(-score).alias("__low"), F.col("fact_id").alias("item_id"))
-    return top_n_per_group(d, ["query_id", "source"], ["__low"], "item_id", n, sizes=d.select("query_id", "source"))
+    return top_n_per_group(d, ["query_id", "source"], ["__low"], "item_id", n)
 
 
 def best_passages(results: DataFrame, n: int = 5) -> DataFrame:
@@ -114,5 +92,4 @@ def best_passages(results: DataFrame, n: int = 5) -> DataFrame:
     at = at.where(F.col("item_id").isNotNull() & F.col("item_id").rlike(r"\S") & ~F.col("item_id").startswith("__unmapped__:") & F.col("example_id").isNotNull())
     by_system = at.groupBy("example_id", "item_id", "system").agg(F.min("__pos").alias("__pos"))
     d = by_system.groupBy("example_id", "item_id").agg(F.min("__pos").cast("double").alias("__pos"), (-F.count("system")).alias("__few"))
-    sizes = results.select("example_id", F.coalesce(F.size("document_ranking"), F.lit(0)).alias("__w"))
-    return top_n_per_group(d, ["example_id"], ["__pos", "__few"], "item_id", n, sizes=sizes, weight="__w")
+    return top_n_per_group(d, ["example_id"], ["__pos", "__few"], "item_id", n)
