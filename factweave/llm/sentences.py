@@ -121,27 +121,30 @@ def _blocks(text: str, thai: bool) -> Iterator[tuple[int, int, bool]]:
 
 
 def _pairs(text: str, start: int, end: int) -> dict[int, int]:
-    """Closing position -> opening position of the matched quotations and brackets of a block."""
+    """Closing position -> opening position of the matched quotations and brackets of a block.
+
+    Beside the stack, ``at`` holds the stack positions of each closing sign that is awaited, so
+    that every sign is pushed, found and popped once.
+    """
     stack: list[tuple[str, int]] = []
+    at: dict[str, list[int]] = {}
     closed: dict[int, int] = {}
+    last = text.rfind("«", start, end)
+
+    def close(sign: str, i: int) -> None:
+        k = at[sign][-1]
+        closed[i] = stack[k][1]
+        while len(stack) > k:
+            at[stack.pop()[0]].pop()
+
     for m in _PAIR.finditer(text, start, end):
         c, i = m.group(), m.start()
-        if c == '"':
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == '"'), None)
-            if k is None:
-                stack.append(('"', i))
-            else:
-                closed[i] = stack[k][1]
-                del stack[k:]
-            continue
-        if c in CLOSE:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
-            if k is not None:
-                closed[i] = stack[k][1]
-                del stack[k:]
-                continue
-        if c in OPEN and (c != "»" or "«" in text[i:end]):
-            stack.append((OPEN[c], i))
+        if c in CLOSE and at.get(c):
+            close(c, i)
+        elif c == '"' or c in OPEN and (c != "»" or i < last):
+            sign = OPEN.get(c, c)
+            at.setdefault(sign, []).append(len(stack))
+            stack.append((sign, i))
     return closed
 
 
@@ -161,8 +164,30 @@ def _begins(text: str, i: int, end: int) -> str:
     return "other"
 
 
-def _ends_unit(text: str, a: int, b: int, start: int, end: int) -> bool:
+class _Token:
+    """The token before a mark: where it starts, and whether it is a chain of letters and dots (``e.g``, ``U.S.A``).
+
+    A token that runs on from the mark before is not read again.
+    """
+
+    def __init__(self) -> None:
+        self.start, self.end, self.chain = 0, -1, False
+
+    def read(self, text: str, a: int, b: int, low: int) -> tuple[int, bool]:
+        stop = max(low, self.end)
+        j = a
+        while j > stop and not (text[j - 1].isspace() or text[j - 1] in "([{“„«\"'’"):
+            j -= 1
+        goes_on = j == self.end > low
+        piece = text[j:a] if a - j <= 2 else ""
+        chain = piece.isalpha() and (self.chain or not goes_on)
+        self.start, self.end, self.chain = self.start if goes_on else j, b, chain and text[a:b] == "."
+        return self.start, chain and goes_on
+
+
+def _ends_unit(text: str, a: int, b: int, start: int, end: int, token: _Token) -> bool:
     """Whether the marks text[a:b], with no open quotation around and none closed after, end a unit."""
+    j, dotted = token.read(text, a, b, start)
     if b >= end:
         return True
     marks, spaced = text[a:b], text[b].isspace()
@@ -181,14 +206,11 @@ def _ends_unit(text: str, a: int, b: int, start: int, end: int) -> bool:
     before = text[a - 1] if a > start else " "
     if before.isspace():
         return spaced and kind in ("upper", "open")
-    j = a
-    while j > start and not (text[j - 1].isspace() or text[j - 1] in "([{“„«\"'’"):
-        j -= 1
-    token = text[j:a]
+    size = a - j
     if not spaced:
         if kind == "open":
             return not _abbreviation(text, a, start) and not before.isdigit()
-        if kind != "upper" or "." in token and not token[0].isdigit() or len(token) < 2 or _abbreviation(text, a, start):
+        if kind != "upper" or text.find(".", j, a) >= 0 and not text[j].isdigit() or size < 2 or _abbreviation(text, a, start):
             return False
         return (before.islower() or before.isdigit() or before in ")]") and (nxt + 1 >= end or text[nxt + 1].islower() or text[nxt + 1].isspace())
     abbreviated = _abbreviation(text, a, start)
@@ -196,15 +218,20 @@ def _ends_unit(text: str, a: int, b: int, start: int, end: int) -> bool:
         return False
     if abbreviated == "after":
         return kind in ("upper", "open")
-    if len(token) == 1 and token.isalpha():
+    if size == 1 and before.isalpha():
         return False
-    if re.fullmatch(r"(?:[^\W\d_]{1,2}\.)+[^\W\d_]{1,2}", token):
+    if dotted:
         return kind in ("upper", "open")
-    if _NUMBER.fullmatch(token):
-        w = text[start:j].split()
-        if w and w[-1].lower() in ORDINAL_AFTER and kind == "upper":
+    if size <= 2 and _NUMBER.fullmatch(text, j, a):
+        k = j
+        while k > start and text[k - 1].isspace():
+            k -= 1
+        if k == start:
             return False
-        if not w:
+        low = k
+        while low > start and k - low < 12 and not text[low - 1].isspace():
+            low -= 1
+        if text[low:k].lower() in ORDINAL_AFTER and kind == "upper":
             return False
     return kind != "other"
 
@@ -280,7 +307,7 @@ def split(text: str | None, model: dict | None = None) -> list[tuple[int, int]]:
         marks = [(m.start(), m.end()) for m in _MARKS.finditer(text, start, end)]
         if thai:
             marks = sorted(chain(marks, ((m.start(), m.end()) for m in _GAP.finditer(text, start, end))))
-        outer, k = [], 0  # outermost pairs in order
+        outer, k, token = [], 0, _Token()  # outermost pairs in order
         for o, c in inside:
             if not outer or o > outer[-1][1]:
                 outer.append((o, c))
@@ -298,7 +325,7 @@ def split(text: str | None, model: dict | None = None) -> list[tuple[int, int]]:
             if around is None:
                 if thai and "." in text[a:b]:
                     continue
-                if _ends_unit(text, a, b, unit, end):
+                if _ends_unit(text, a, b, unit, end, token):
                     emit(unit, b)
                     unit = b
                     while unit < end and text[unit].isspace():
@@ -312,7 +339,10 @@ def split(text: str | None, model: dict | None = None) -> list[tuple[int, int]]:
             if i != c:
                 continue
             i = c + 1
-            kind = _begins(text, i + (len(text[i:end]) - len(text[i:end].lstrip())), end)
+            nxt = i
+            while nxt < end and text[nxt].isspace():
+                nxt += 1
+            kind = _begins(text, nxt, end)
             spaced = i < end and text[i].isspace()
             if kind == "end":
                 ends = True
