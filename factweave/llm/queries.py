@@ -44,7 +44,7 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _sampling(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """Records, leaves, targets and quotas of the three fields."""
+    """Records, targets, filled leaves and categories of the three fields."""
     docs, examples = table(spark, folder, "documents"), table(spark, folder, "benchmark_examples")
     records = reduce(
         DataFrame.unionByName,
@@ -58,24 +58,27 @@ def _sampling(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, D
     leaves = records.groupBy("field_name", "category", "leaf").agg(F.count(F.lit(1)).alias("n"))
     pool = records.groupBy("field_name").agg(F.count(F.lit(1)).alias("pool"))
     named = table(spark, folder, "sample_targets").withColumnRenamed("category", "named").withColumn("category", category_key(F.col("named")))
-    quotas = sample.allocate(leaves, named, pool)
-    return records, leaves, named, quotas
+    need = cut(sample.needs(leaves, named, pool))
+    filled = cut(sample.fill(leaves, need))
+    return records, named, filled, sample.unmet(need, filled)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, named, quotas = _sampling(spark, folder)
-    short = quotas.where(F.col("targeted") & (F.col("unmet") > 0))
+    """The targets whose quota passes, in part or whole, to cousins."""
+    _, named, _, categories = _sampling(spark, folder)
+    short = categories.where(F.col("targeted") & (F.col("unmet") > 0))
     return named.join(short, ["field_name", "category"], "left_semi").select("field_name", F.col("named").alias("category"))
 
 
 def p4_report(spark: SparkSession, folder: str) -> DataFrame:
-    _, _, _, quotas = _sampling(spark, folder)
-    return quotas.select("field_name", "category", "need", "available", "quota", "unmet")
+    _, _, filled, categories = _sampling(spark, folder)
+    d = sample.report(categories, sample.allocate(filled, categories))
+    return d.select("field_name", "category", "need", "available", "quota", "unmet")
 
 
 def p4_sample(spark: SparkSession, folder: str) -> DataFrame:
-    records, leaves, _, quotas = _sampling(spark, folder)
-    return sample.draw(records, leaves, quotas).select("field_name", "category", "record_id")
+    records, _, filled, categories = _sampling(spark, folder)
+    return sample.draw(records, sample.allocate(filled, categories)).select("field_name", "category", "record_id")
 
 
 def _mixing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int]:
@@ -87,7 +90,7 @@ def _mixing(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame, int
 
 def p7_found(spark: SparkSession, folder: str) -> DataFrame:
     sized, targets, budget = _mixing(spark, folder)
-    return mix.shares(sized, targets, budget).where("short").select("source")
+    return mix.reached(mix.queue(sized, targets), targets, budget).where("short").select("source")
 
 
 def p7_report(spark: SparkSession, folder: str) -> DataFrame:
@@ -102,11 +105,16 @@ def p7_mix(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p6_leaks(spark, folder).where(F.col("equal_windows") > 0).select("doc_id", "item_id")
+    """Windows of a run whose shingles are all alike (similarity 1), and the words too."""
+    found = leak.find_leaks(table(spark, folder, "documents"), leak.weighted(table(spark, folder, "eval_items")), least=1.0)
+    return found.where("holds_run").select("doc_id", "item_id")
 
 
 def p6_leaks(spark: SparkSession, folder: str) -> DataFrame:
-    return leak.find_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    """Leaks of runs, and edited leaks of the size of an item."""
+    docs, known = table(spark, folder, "documents"), cut(leak.weighted(table(spark, folder, "eval_items")))
+    runs, edited = leak.find_leaks(docs, known), leak.find_leaks(docs, known, leak.ITEM, radius=2)
+    return runs.unionByName(edited).groupBy("doc_id", "item_id").agg(F.max("windows").alias("windows"), F.max("similarity").alias("similarity"), F.max("holds_run").alias("holds_run"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -137,12 +137,30 @@ def test_sample_quotas_and_report(spark):
     leaves = rec.groupBy("field_name", "category", "leaf").agg(F.count(F.lit(1)).alias("n"))
     pool = rec.groupBy("field_name").agg(F.count(F.lit(1)).alias("pool"))
     goal = spark.createDataFrame([("t.c", "big_cat", 0.5, 0), ("t.c", "rare", 0.1, 6)], "field_name string, category string, target_share double, min_rows bigint")
-    quotas = sample.allocate(leaves, goal, pool).cache()
-    q = {r.category: r for r in quotas.collect()}
+    need = sample.needs(leaves, goal, pool).cache()
+    filled = sample.fill(leaves, need).cache()
+    categories = sample.unmet(need, filled).cache()
+    parts = sample.allocate(filled, categories).cache()
+    q = {r.category: r for r in sample.report(categories, parts).collect()}
     assert (q["rare"].need, q["rare"].unmet, q["big_cat"].need, q["big_cat"].unmet) == (6, 3, 10, 0)
-    drawn = sample.draw(rec, leaves, quotas).groupBy("category").count().collect()
+    drawn = sample.draw(rec, parts).groupBy("category").count().collect()
     assert {r.category: r["count"] for r in drawn} == {"rare": 3, "big_cat": q["big_cat"].quota}
-    assert q["big_cat"].quota + 3 == 20
+    assert q["big_cat"].quota + 3 == 20 and q[None].quota == 0
+
+
+def test_unmet_quota_goes_to_siblings_before_cousins(spark):
+    # a needs 60: an even part of 20 for each leaf; x lacks 15, which its siblings fill. b needs 30 and lacks 20: cousins fill it
+    rows = [("f", "a", "x", 5), ("f", "a", "y", 200), ("f", "a", "z", 40), ("f", "b", "x", 10), ("f", "c", "x", 245)]
+    leaves = spark.createDataFrame(rows, "field_name string, category string, leaf string, n bigint")
+    goal = spark.createDataFrame([("f", "a", 0.6, 0), ("f", "b", 0.3, 0), ("f", "none", 0.1, 3)], "field_name string, category string, target_share double, min_rows bigint")
+    need = sample.needs(leaves, goal, spark.createDataFrame([("f", 500)], "field_name string, pool bigint")).cache()
+    filled = sample.fill(leaves, need).cache()
+    own = {(r.category, r.leaf): r.own for r in filled.collect()}
+    assert own["a", "x"] == 5 and own["a", "y"] + own["a", "z"] == 55 and own["a", "y"] > own["a", "z"] >= 20 and own["b", "x"] == 10 and own["c", "x"] == 0
+    categories = sample.unmet(need, filled).cache()
+    assert {r.category: r.unmet for r in categories.collect()} == {"a": 0, "b": 20, "c": 0, "none": 10}
+    take = {(r.category, r.leaf): r.take for r in sample.allocate(filled, categories).collect()}
+    assert sum(take.values()) == 100 and take["c", "x"] == 0 and take["a", "x"] == 5 and take["a", "y"] + take["a", "z"] == 85
 
 
 @pytest.mark.parametrize(
@@ -170,7 +188,11 @@ def test_units_leave_out_nothing_but_whitespace(spark):
     assert not text[at:].strip()
 
 
-def test_leaks_against_brute_force(spark):
+def _leaks(d, items, **how):
+    return {x.doc_id: x for x in leak.find_leaks(d, leak.weighted(items).cache(), **how).collect()}
+
+
+def test_leaks_against_brute_force(spark, monkeypatch):
     r = random.Random(2)
     item = [f"v{i}" for i in range(60)]
     docs = []
@@ -180,11 +202,33 @@ def test_leaks_against_brute_force(spark):
         docs.append((i, " ".join(r.choices([f"z{k}" for k in range(50)], k=20)) + "\n**" + "_".join(item[s : s + n]).upper() + "** end", n >= 12))
     docs += [(98, None, False), (99, "", False)]
     d = spark.createDataFrame([(i, t) for i, t, _ in docs], "doc_id bigint, text string")
-    items = spark.createDataFrame([(7, " ".join(item)), (8, None), (7, " ".join(item))], "item_id bigint, text string")
-    got = {x.doc_id for x in leak.find_leaks(d, items).where("equal_windows > 0").collect()}
+    items = spark.createDataFrame([(7, " ".join(item)), (8, None), (7, " ".join(item)), (None, "x"), (9, "")], "item_id bigint, text string")
+    got = {i for i, x in _leaks(d, items, least=1.0).items() if x.holds_run and x.similarity == pytest.approx(1)}
     assert got == {i for i, _, yes in docs if yes}
-    sliced = {x.doc_id for x in leak.find_leaks(d, items, max_windows=100).where("equal_windows > 0").collect()}
-    assert sliced == got
+    monkeypatch.setattr(leak, "BROADCAST_ROWS", 0)
+    assert set(_leaks(d, items, least=1.0)) == got
+    assert not _leaks(d, items.where("item_id = 8")) and not _leaks(d.where("doc_id > 90"), items)
+
+
+def test_edited_leaks_of_the_size_of_an_item(spark):
+    r = random.Random(3)
+    texts = [[f"i{k}w{i}" for i in range(80)] for k in range(40)]
+    docs = []
+    for k, t in enumerate(texts):
+        at = r.randrange(80)
+        docs.append((k, " ".join([*t[:at], "edited", *t[at + 1 :]])))
+        docs.append((100 + k, " ".join(r.sample(t, 80))))
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "item_id bigint, text string")
+    got = _leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), items, sizes=leak.ITEM, radius=2)
+    assert all(i < 100 and x.item_id == i and 0.8 <= x.similarity <= 1 for i, x in got.items()) and len(got) >= 28
+
+
+def test_similarity_of_windows_by_hand(spark):
+    items = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "a b c d e x y z")], "item_id int, text string")
+    weights = {r.item_id: r.weights for r in leak.weighted(items).collect()}
+    assert weights[1] == [0.5] + [1.0] * 7 and weights[2] == [0.5, 1.0, 1.0, 1.0]
+    (row,) = _leaks(spark.createDataFrame([("d", "a b c d e f g h i j k zz")], "doc_id string, text string"), items, radius=31, least=0.5).values()
+    assert row.similarity == pytest.approx(6.5 / 8.5) and not row.holds_run and row.windows == 1
 
 
 def test_mix_shares_and_repeats(spark):
@@ -301,3 +345,34 @@ def test_languages_by_script(model):
     assert names("the kiln и это") == latin | {"ru"}
     whole, some = model[0].table(EN + DE), model[0].tables([(EN + DE, language.written_in(EN[0])), ([], [3])])
     assert (whole[:, :6] == some[0][:, :6]).all() and some[1].shape == (0, 12) and (some[0][:, 6:] > whole[:, :6].max()).all()
+
+
+@pytest.mark.parametrize("unit", ["« a » b » ", "( a. ", '" x. ', "word 12. ", "a.b.c.", "“a. "])
+def test_split_takes_time_in_proportion(unit):
+    import time
+
+    text, began = unit * 16_000, time.thread_time()
+    got = sentences.split(text)
+    assert time.thread_time() - began < 3 and "".join(text[a:b] for a, b in got).split() == text.split() or got
+
+
+def test_first_of_one_group_with_nearly_all_rows(spark):
+    d = spark.range(20_000, numPartitions=4).select(F.when(F.col("id") % 10 > 0, "hot").otherwise(F.col("id").cast("string")).alias("g"), (F.col("id") % 997).alias("o"), F.col("id").alias("i"))
+    got = topn.top_n_per_group(d, ["g"], ["o"], "i", 3)
+    assert [r.i for r in got.where("g = 'hot'").sort("o", "i").collect()] == [997, 1994, 2991] and got.count() == 2003
+    assert topn.top_n_per_group(d.limit(0), ["g"], ["o"], "i", 3).count() == 0
+
+
+def test_mix_ends_where_the_budget_does(spark):
+    r = random.Random(1)
+    rows = [(i, "s", r.randrange(3), r.randrange(1, 9), 1.0, float(r.randrange(40))) for i in range(400)]
+    q = spark.createDataFrame(rows, "doc_id bigint, source string, round int, tokens bigint, weight double, finish double").repartition(5)
+    want, used = [], 0
+    for x in sorted(rows, key=lambda x: (x[5], x[1], x[0], x[2])):
+        used += x[3]
+        if used > 700:
+            break
+        want.append(x[0])
+    d = mix.truncate(q, 700)
+    assert sorted(x.doc_id for x in d.collect()) == sorted(want) and "SinglePartition" not in d._jdf.queryExecution().toString()
+    assert mix.truncate(q, 10**9).count() == 400 and mix.truncate(q, 0).count() == 0 and mix.truncate(q.limit(0), 5).count() == 0
