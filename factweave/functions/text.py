@@ -1,9 +1,17 @@
-"""Column expressions on text."""
+"""Column expressions on text, and the few Arrow functions that built-in ones cannot express."""
 
 from __future__ import annotations
 
+import hashlib
+import json
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def category_key(c: Column) -> Column:
@@ -13,3 +21,121 @@ def category_key(c: Column) -> Column:
     """
     bare = F.regexp_replace(F.lower(c), r"^\s+|\s+$", "")
     return F.nullif(F.regexp_replace(bare, r"[\s_-]+", "_"), F.lit(""))
+
+
+def compact(c: Column) -> Column:
+    """Runs of whitespace as one blank, none outside; null stays null."""
+    return F.trim(F.regexp_replace(c, r"\s+", " "))
+
+
+@pandas_udf(StringType())
+def normalize_name(names: pd.Series) -> pd.Series:
+    """NFKC, casefolded, marks other than + and - as blanks, whitespace compacted; null stays null."""
+    return names.map(lambda x: None if x is None else " ".join(re.sub(r"[^\w\s+-]", " ", unicodedata.normalize("NFKC", x).casefold()).split()))
+
+
+def slug(c: Column, default: str) -> Column:
+    """Lower case, everything but letters and digits as one ``_``, none outside; ``default`` where nothing is left or null."""
+    bare = F.regexp_replace(F.regexp_replace(F.lower(c), r"[^\p{L}\p{N}_]+", "_"), r"^_+|_+$", "")
+    return F.coalesce(F.nullif(bare, F.lit("")), F.lit(default))
+
+
+def safe_id(c: Column) -> Column:
+    """Runs of characters that are not ASCII letters, digits, ``_``, ``.`` or ``-`` as ``_``; ``item`` where nothing is left or null."""
+    return F.coalesce(F.nullif(F.regexp_replace(c, "[^a-zA-Z0-9_.-]+", "_"), F.lit("")), F.lit("item"))
+
+
+def confidence(c: Column) -> Column:
+    """A number between 0 and 1 from text; 0.5 where it is none (NaN counts as none)."""
+    n = F.nanvl(c.try_cast("double"), F.lit(None).cast("double"))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(n, F.lit(0.5))))
+
+
+def short_id(prefix: str, c: Column, length: int = 16) -> Column:
+    """``prefix_`` and the first hexadecimal digits of the SHA-1."""
+    return F.concat(F.lit(prefix + "_"), F.substring(F.sha1(c), 1, length))
+
+
+def unit_interval(c: Column) -> Column:
+    """A place in [0, 1) from the first 64 bits of the SHA-256."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10).cast("double") / F.lit(2.0**64)
+
+
+def split_sentences(c: Column) -> Column:
+    """Parts after ``.``, ``!`` or ``?`` and whitespace, or between line breaks, compacted; blank ones are left out."""
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?])\s+|\n+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+_W = r"[\p{L}\p{N}_]"
+_CAPITAL = rf"[A-Z](?:[\p{{L}}\p{{N}}_'-]*{_W})?"
+NAMES = rf"(?:^|[^\p{{L}}\p{{N}}_])({_CAPITAL}(?:\s+{_CAPITAL}){{0,4}})"
+LONG_WORDS = rf"(?:^|[^\p{{L}}\p{{N}}_])([a-zA-Z][\p{{L}}\p{{N}}_'-]{{4,}}{_W})"
+
+
+def concepts(sentence: Column, title: Column, most: int = 8) -> Column:
+    """The title, runs of up to five capitalized words, and words of six characters or more: the first ``most`` that differ beyond case."""
+    found = [F.regexp_extract_all(sentence, F.lit(p), 1) for p in (NAMES, LONG_WORDS)]
+    each = F.filter(F.transform(F.concat(F.array(F.coalesce(title, F.lit(""))), *found), lambda x: F.trim(x)), lambda x: x != "")
+    low = F.transform(each, F.lower)
+    return F.slice(F.filter(each, lambda x, i: F.array_position(low, F.lower(x)) == i + 1), 1, most)
+
+
+def _fenced(text: str) -> str:
+    m = re.match(r"\s*```[a-zA-Z]*\s*\n(.*?)\n?\s*```\s*$", text, re.S)
+    return m.group(1) if m else text
+
+
+def json_object(text: str | None) -> str | None:
+    """The JSON object that a text is, holds in a fence, or holds first among other words; null if there is none."""
+    decoder = json.JSONDecoder()
+    body = _fenced(text or "")
+    at = body.find("{")
+    while at >= 0:
+        try:
+            return json.dumps(decoder.raw_decode(body, at)[0], sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+        except ValueError:
+            at = body.find("{", at + 1)
+        except RecursionError:
+            return None
+    return None
+
+
+@pandas_udf(StringType())
+def repaired_json(texts: pd.Series) -> pd.Series:
+    """See json_object; keys are sorted, without blanks."""
+    return texts.map(json_object)
+
+
+@pandas_udf(StringType())
+def json_digest(texts: pd.Series) -> pd.Series:
+    """SHA-256 of a JSON text with sorted keys and without blanks; null where it is no JSON."""
+
+    def digest(t: str | None) -> str | None:
+        try:
+            v = json.loads(t) if t is not None else None
+        except (ValueError, RecursionError):
+            return None
+        return None if t is None else hashlib.sha256(json.dumps(v, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode("utf-8", "replace")).hexdigest()
+
+    return texts.map(digest)
+
+
+@pandas_udf(ArrayType(IntegerType()))
+def offsets(texts: pd.Series, parts: pd.Series) -> pd.Series:
+    """Where a part occurs in a text, beyond case, without overlaps; empty for null or empty parts."""
+    return pd.Series([[m.start() for m in re.finditer(re.escape(p), t, re.I)] if t and p else [] for t, p in zip(texts, parts)])
+
+
+@pandas_udf(StringType())
+def grounded(texts: pd.Series, quotes: pd.Series) -> pd.Series:
+    """The stretch of a text that a quote is, word for word or with other whitespace; null if it holds none."""
+
+    def find(t: str | None, q: str | None) -> str | None:
+        if not t or not q or not q.strip():
+            return None
+        if q in t:
+            return q
+        m = re.search(r"\s+".join(map(re.escape, q.split())), t)
+        return m.group() if m else None
+
+    return pd.Series([find(t, q) for t, q in zip(texts, quotes)], dtype=object)

@@ -17,14 +17,13 @@ def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     Lines before the first heading have the title ``Document``, an empty heading is ``Untitled``.
     """
-    lines = docs.where(F.col(key).isNotNull()).select(key, F.posexplode(F.split(text, "\n")).alias("pos", "line"))
-    head = F.col("line").rlike(r"^[ \t]*#")
-    at = W.partitionBy(key).orderBy("pos").rowsBetween(W.unboundedPreceding, 0)
-    d = lines.withColumn("section_no", F.sum(head.cast("int")).over(at)).withColumn("head", head)
-    body = F.array_sort(F.collect_list(F.when(~F.col("head"), F.struct("pos", "line"))))
-    d = d.groupBy(key, "section_no").agg(body.alias("b"), F.max(F.when(F.col("head"), F.regexp_replace("line", r"^[ \t]*[# ]+|[# ]+$", ""))).alias("t"))
-    title = F.when(F.col("section_no") == 0, "Document").when(F.col("t") == "", "Untitled").otherwise(F.col("t"))
-    return d.select(key, "section_no", title.alias("title"), F.array_join("b.line", "\n").alias("text")).where(F.col("text").rlike(r"\S"))
+    d = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull())
+    d = d.select(key, F.posexplode(F.split(F.concat(F.lit("\n"), text), r"\n(?=[ \t]*#)")).alias("section_no", "part"))
+    line, body = F.substring_index("part", "\n", 1), F.when(F.contains(F.col("part"), F.lit("\n")), F.expr("substring(part, instr(part, '\n') + 1)")).otherwise("")
+    name = F.regexp_replace(line, r"^[ \t]*[# ]+|[# ]+$", "")
+    title = F.when(F.col("section_no") == 0, "Document").when(name == "", "Untitled").otherwise(name)
+    body = F.when(F.col("section_no") == 0, F.expr("substring(part, 2)")).otherwise(body)
+    return d.select(key, "section_no", title.alias("title"), body.alias("text")).where(F.col("text").rlike(r"\S"))
 
 
 def windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 96) -> DataFrame:
@@ -38,6 +37,17 @@ def windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int
     return d.select(key, "chunk_no", F.slice("t", F.col("chunk_no") * step + 1, size).alias("tokens"))
 
 
+def placed_windows(docs: DataFrame, key: str, text: str, size: int = 512, overlap: int = 96) -> DataFrame:
+    """key, chunk_no, start_char, end_char: where the windows lie in the tokens joined by one blank each."""
+    step = size - overlap
+    d = docs.select(key, F.transform(F.regexp_extract_all(text, F.lit(TOKEN), 0), F.length).alias("n")).where(F.size("n") > 0)
+    last = F.greatest(F.lit(0), F.ceil((F.size("n") - size) / step)).cast("int")
+    d = d.select(key, "n", F.explode(F.sequence(F.lit(0), last)).alias("chunk_no"))
+    length = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x + 1)
+    start = length(F.slice("n", 1, F.col("chunk_no") * step))
+    return d.select(key, "chunk_no", start.alias("start_char"), (start + length(F.slice("n", F.col("chunk_no") * step + 1, size)) - 1).alias("end_char"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents of each query.
 

@@ -7,16 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_tokens, f1
-from factweave.operators import corpus, graph, limiter, ranking, vectors
-from factweave.plans import sql
+from factweave.functions.text import unit_interval
+from factweave.operators import corpus, external, facts, graph, limiter, ranking, stats, vectors
+from factweave.plans import corpora, evaluation, retrieval, sql
+from factweave.plans.common import gold, once
 from factweave.sources.tables import table
 
 
-def _once(df: DataFrame, key: str) -> DataFrame:
-    """A record (same key) counts once; null keys not at all. Repeats are rows that appear again unchanged."""
-    return df.where(F.col(key).isNotNull()).dropDuplicates([key])
-
-
 def document_ids(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "documents")
     return d.select("doc_id", F.concat(F.lit("doc_"), F.substring(F.sha2(F.coalesce("text", F.lit("")), 256), 1, 16)).alias("content_id"))
@@ -24,7 +21,7 @@ def document_ids(spark: SparkSession, folder: str) -> DataFrame:
 
 def split_partition(spark: SparkSession, folder: str) -> DataFrame:
     d = table(spark, folder, "benchmark_examples").select("example_id").where(F.col("example_id").isNotNull()).distinct()
-    at = F.conv(F.substring(F.sha2("example_id", 256), 1, 8), 16, 10).cast("bigint") / F.lit(2**32)
+    at = unit_interval(F.col("example_id"))
     return d.select("example_id", F.when(at < 0.7, "train").when(at < 0.85, "validation").otherwise("test").alias("part"))
 
 
@@ -69,21 +66,14 @@ def rrf_fusion(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.top(d, ["query_id"], [F.col("score").desc(), F.col("fact_id")], 20)
 
 
-def _incidence(spark: SparkSession, folder: str) -> DataFrame:
-    """Facts are orders; their entities are the customer (weight 1) and the parts (1 + discount)."""
-    o = table(spark, folder, "orders").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("entity"), F.concat(F.lit("o"), F.col("o_orderkey")).alias("fact"), F.lit(1.0).alias("weight"))
-    items = table(spark, folder, "lineitem")
-    return o.unionByName(items.select(F.concat(F.lit("p"), F.col("l_partkey")).alias("entity"), F.concat(F.lit("o"), F.col("l_orderkey")).alias("fact"), (1 + F.col("l_discount")).alias("weight")))
-
-
 def graph_degree(spark: SparkSession, folder: str) -> DataFrame:
-    e = graph.symmetric(_incidence(spark, folder))
+    e = graph.symmetric(retrieval.incidence(spark, folder))
     return e.groupBy(F.col("src").alias("node")).agg(F.count(F.lit(1)).alias("neighbours"), F.round(F.sum("weight"), 4).alias("degree"))
 
 
 def spectral_bands(spark: SparkSession, folder: str) -> DataFrame:
     x = table(spark, folder, "orders").select(F.concat(F.lit("o"), F.col("o_orderkey")).alias("node"), (F.col("o_totalprice") / 1000).alias("v"))
-    d = graph.bands(graph.symmetric(_incidence(spark, folder)), x)
+    d = graph.bands(graph.symmetric(retrieval.incidence(spark, folder)), x)
     return d.select("node", *[F.round(c, 6).alias(c) for c in ("raw", "low", "mid", "high")])
 
 
@@ -93,35 +83,28 @@ def _seeds(spark: SparkSession, folder: str) -> DataFrame:
 
 def hop_reach(spark: SparkSession, folder: str) -> DataFrame:
     """The nearest seed's distance only, as its SQL; hop_reach_seeds has every seed's."""
-    return graph.hops(graph.symmetric(_incidence(spark, folder)), _seeds(spark, folder))
+    return graph.hops(graph.symmetric(retrieval.incidence(spark, folder)), _seeds(spark, folder))
 
 
 def hop_reach_seeds(spark: SparkSession, folder: str) -> DataFrame:
-    return graph.seed_hops(graph.symmetric(_incidence(spark, folder)), _seeds(spark, folder))
+    return graph.seed_hops(graph.symmetric(retrieval.incidence(spark, folder)), _seeds(spark, folder))
 
 
 def verify_evidence(spark: SparkSession, folder: str) -> DataFrame:
-    e = _once(table(spark, folder, "benchmark_examples"), "example_id").select("example_id", F.explode("supporting_facts").alias("s")).select("example_id", "s.passage_id", "s.sentence_index").distinct()
-    p = _once(table(spark, folder, "passages"), "passage_id").select("passage_id", F.size("sentences").alias("n"))
-    d = e.join(p, "passage_id", "left")
-    reason = F.when(F.col("n").isNull(), "missing_passage").when((F.col("sentence_index") < 0) | (F.col("sentence_index") >= F.col("n")), "index_out_of_range").otherwise("accepted")
-    return d.groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("links"))
-
-
-def _gold(spark: SparkSession, folder: str) -> DataFrame:
-    e = _once(table(spark, folder, "benchmark_examples"), "example_id")
-    return e.select("example_id", F.col("answer").alias("references"), F.transform("supporting_facts", lambda s: s["passage_id"]).alias("gold"))
+    e = once(table(spark, folder, "benchmark_examples"), "example_id").select("example_id", F.explode("supporting_facts").alias("s")).select("example_id", "s.passage_id", "s.sentence_index").distinct()
+    d = facts.verified(e, once(table(spark, folder, "passages"), "passage_id"))
+    return d.groupBy("reason").agg(F.count(F.lit(1)).alias("links"))
 
 
 def ranking_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    r = _once(table(spark, folder, "baseline_results"), "result_id").select("result_id", "system", "example_id", "document_ranking")
-    d = ranking.ranking_scores(r.join(_gold(spark, folder), "example_id"), "document_ranking", "gold")
-    return d.drop("references", "gold", "document_ranking")
+    r = once(table(spark, folder, "baseline_results"), "result_id").select("result_id", "system", "example_id", "document_ranking")
+    d = ranking.ranking_scores(r.join(gold(spark, folder), "example_id"), "document_ranking", "gold")
+    return d.drop("dataset", "references", "gold", "document_ranking")
 
 
 def answer_f1(spark: SparkSession, folder: str) -> DataFrame:
-    r = _once(table(spark, folder, "baseline_results"), "result_id").select("result_id", "system", "example_id", "answer")
-    d = r.join(_gold(spark, folder), "example_id").withColumn("a", answer_tokens(F.col("answer")))
+    r = once(table(spark, folder, "baseline_results"), "result_id").select("result_id", "system", "example_id", "answer")
+    d = r.join(gold(spark, folder), "example_id").withColumn("a", answer_tokens(F.col("answer")))
     best = F.array_max(F.transform("references", lambda g: f1(F.col("a"), answer_tokens(g))))
     return d.select("result_id", "system", "example_id", F.round(best, 6).alias("f1"))
 
@@ -135,45 +118,43 @@ def paired_cohen(spark: SparkSession, folder: str) -> DataFrame:
     each = answer_f1(spark, folder).groupBy("example_id", "system").agg(F.avg("f1").alias("f1"))
     a, b = each.toDF("example_id", "system_a", "fa"), each.toDF("example_id", "system_b", "fb")
     d = a.join(b, "example_id").where("system_a < system_b").withColumn("d", F.round(F.col("fa") - F.col("fb"), 9))
-    g = d.groupBy("system_a", "system_b").agg(F.count("d").alias("n"), F.avg("d").alias("mean"), F.stddev_samp("d").alias("sd"))
-    return g.select("system_a", "system_b", "n", F.round("mean", 6).alias("difference"), F.round(F.when(F.col("sd") > 0, F.col("mean") / F.col("sd")), 5).alias("cohens_d"))
+    g = d.groupBy("system_a", "system_b").agg(F.count("d").alias("n"), F.round(F.avg("d"), 6).alias("difference"), F.round(F.nanvl(stats.cohens_d("d"), F.lit(None).cast("double")), 5).alias("cohens_d"))
+    return g
 
 
 def audit_counts(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "benchmark_examples").select("example_id").where(F.col("example_id").isNotNull()).distinct()
-    r = _once(table(spark, folder, "baseline_results"), "result_id")
-    each = r.join(e, "example_id", "left_semi").groupBy("system", "example_id").agg(F.max((F.col("status") == "success").cast("int")).alias("ok"))
-    g = each.groupBy("system").agg(F.count(F.lit(1)).alias("received"), F.sum(F.coalesce("ok", F.lit(0))).alias("succeeded"))
-    n = e.agg(F.count(F.lit(1)).alias("expected"))
-    return g.join(F.broadcast(n)).select("system", "expected", "received", (F.col("expected") - F.col("received")).alias("missing"), "succeeded", (F.col("received") - F.col("succeeded")).alias("failed"))
+    d = external.audit(once(table(spark, folder, "baseline_results"), "result_id"), e)
+    return d.select("system", "expected", "received", "missing", "succeeded", (F.col("received") - F.col("succeeded")).alias("failed"))
 
 
 def external_mapping(spark: SparkSession, folder: str) -> DataFrame:
-    r = _once(table(spark, folder, "baseline_results"), "result_id").select("result_id", F.explode(ranking.distinct_ranking(F.col("document_ranking"))).alias("passage_id"))
+    """Of the distinct entries that are not blank, how many are passages of any example."""
+    r = once(table(spark, folder, "baseline_results"), "result_id").select("result_id", F.explode(ranking.distinct_ranking(F.col("document_ranking"))).alias("passage_id"))
     p = table(spark, folder, "passages").select("passage_id").distinct().withColumn("known", F.lit(1))
     d = r.join(p, "passage_id", "left").groupBy("result_id").agg(F.count(F.lit(1)).alias("entries"), F.count("known").alias("mapped"))
     return d.withColumn("coverage", F.round(F.col("mapped") / F.col("entries"), 6))
 
 
 def canonical_entities(spark: SparkSession, folder: str) -> DataFrame:
-    e = _once(table(spark, folder, "benchmark_examples"), "example_id").select("example_id", F.explode("bridge_entities").alias("name")).where(F.col("name").rlike(r"\S"))
-    key = F.trim(F.regexp_replace(F.lower("name"), r"\s+", " "))
-    d = e.groupBy(key.alias("entity"), "name").agg(F.count(F.lit(1)).alias("n"))
-    return d.groupBy("entity").agg(F.min("name").alias("canonical_name"), F.count(F.lit(1)).alias("aliases"), F.sum("n").alias("mentions"))
+    e = once(table(spark, folder, "benchmark_examples"), "example_id")
+    e = e.select("example_id", F.explode("bridge_entities").alias("name")).select("name", F.lit("bridge").alias("entity_type"), F.col("example_id").alias("at"))
+    d = facts.canonical_entities(e)
+    return d.select("entity_type", "entity", "canonical_name", F.array_join("aliases", "|").alias("aliases"), "mentions")
 
 
 def context_budget(spark: SparkSession, folder: str) -> DataFrame:
-    p = _once(table(spark, folder, "passages"), "passage_id").where(F.col("example_id").isNotNull())
+    p = once(table(spark, folder, "passages"), "passage_id").where(F.col("example_id").isNotNull())
     d = p.select("example_id", "passage_id", F.length(F.array_join("sentences", " ")).alias("size"))
     w = W.partitionBy("example_id").orderBy("passage_id").rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("before", F.coalesce(F.sum("size").over(w), F.lit(0))).where(F.col("before") < 1200)
     return d.select("example_id", "passage_id", F.least(F.col("size"), 1200 - F.col("before")).cast("bigint").alias("used"))
 
 
-def limiter_window(spark: SparkSession, folder: str) -> DataFrame:
-    """By calendar minute, as its SQL; limiter_sliding has the reference's trailing window."""
+def events_per_minute(spark: SparkSession, folder: str) -> DataFrame:
+    """Events of a user by calendar minute; limiter_sliding has the reference's trailing window."""
     d = table(spark, folder, "events").groupBy("user_id", F.window("ts", "60 seconds").alias("w")).agg(F.count(F.lit(1)).alias("requests"))
-    return d.select("user_id", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > 2).alias("limited"))
+    return d.select("user_id", F.col("w.start").alias("window_start"), "requests", (F.col("requests") > 2).alias("many"))
 
 
 def limiter_sliding(spark: SparkSession, folder: str) -> DataFrame:
@@ -183,12 +164,15 @@ def limiter_sliding(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("event_id", "user_id", "ts", "trailing", "admitted")
 
 
-def response_cache(spark: SparkSession, folder: str) -> DataFrame:
+def first_responses(spark: SparkSession, folder: str) -> DataFrame:
+    """Of each key the response that was written first (of the same time, the least)."""
     d = table(spark, folder, "llm_responses").where(F.col("cache_key").isNotNull())
-    return d.groupBy("cache_key").agg(F.count(F.lit(1)).alias("writes"), F.sha2(F.max("response"), 256).alias("digest"))
+    first = F.min_by(F.struct("response"), F.struct(F.col("created_at").isNull(), "created_at", "response"))
+    return d.groupBy("cache_key").agg(F.count(F.lit(1)).alias("writes"), F.sha2(first["response"], 256).alias("digest"))
 
 
 QUERIES = {f.__name__: f for f in (
     document_ids, split_partition, section_split, chunk_counts, bm25_topk, dense_topk, seed_weights, seed_weights_64, rrf_fusion, graph_degree, spectral_bands, hop_reach, hop_reach_seeds, verify_evidence,
-    ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, limiter_window, limiter_sliding, response_cache)}
-SQL = sql.SQL
+    ranking_metrics, answer_f1, summary_by_system, paired_cohen, audit_counts, external_mapping, canonical_entities, context_budget, events_per_minute, limiter_sliding, first_responses)}
+QUERIES |= evaluation.QUERIES | corpora.QUERIES | retrieval.QUERIES
+SQL = sql.SQL | evaluation.SQL | corpora.SQL | retrieval.SQL

@@ -15,19 +15,22 @@ e AS (SELECT example_id, list_distinct(list_filter([s.passage_id FOR s IN suppor
 u AS (SELECT result_id, p, min(pos) AS pos FROM (SELECT result_id, unnest(document_ranking) AS p, generate_subscripts(document_ranking, 1) AS pos FROM r)
   WHERE p IS NOT NULL AND regexp_matches(p, '\\S') GROUP BY ALL),
 v AS (SELECT result_id, p, row_number() OVER (PARTITION BY result_id ORDER BY pos) AS pos FROM u),
-b AS (SELECT r.result_id, r.system, e.example_id, e.gold, len(e.gold) AS g FROM r JOIN e USING (example_id)),
+n AS (SELECT result_id, count(*) AS returned FROM v GROUP BY ALL),
+b AS (SELECT r.result_id, r.system, e.example_id, e.gold, len(e.gold) AS g, coalesce(n.returned, 0) AS returned FROM r JOIN e USING (example_id) LEFT JOIN n USING (result_id)),
 h AS (SELECT b.result_id, v.pos FROM b JOIN v USING (result_id) WHERE list_contains(b.gold, v.p))
 """
 _KS = (1, 3, 5, 10, 20)
 _METRICS = f"""
 WITH {_RANKED}
-SELECT b.result_id, b.system, b.example_id, CASE WHEN g > 0 THEN coalesce(1.0::DOUBLE / min(pos), 0) END AS mrr
+SELECT b.result_id, b.system, b.example_id, CASE WHEN g > 0 THEN coalesce(1.0::DOUBLE / min(pos) FILTER (pos <= 20), 0) END AS mrr, CASE WHEN g > 0 THEN coalesce(1.0::DOUBLE / min(pos) FILTER (pos <= 20), 0) END AS mrr_20
 {"".join(f'''
 , CASE WHEN g > 0 THEN count(*) FILTER (pos <= {k}) / g::DOUBLE END AS recall_{k}
 , CASE WHEN g > 0 THEN count(*) FILTER (pos <= {k}) / {k}::DOUBLE END AS precision_{k}
+, CASE WHEN g > 0 THEN coalesce(count(*) FILTER (pos <= {k}) / nullif(least(b.returned, {k}), 0)::DOUBLE, 0) END AS returned_precision_{k}
+, CASE WHEN g > 0 THEN (count(*) FILTER (pos <= {k}) = g)::INT::DOUBLE END AS complete_{k}
 , CASE WHEN g > 0 THEN least(count(*) FILTER (pos <= {k}), 1)::DOUBLE END AS hit_{k}
 , CASE WHEN g > 0 THEN round(coalesce(sum(1 / log2(pos + 1)) FILTER (pos <= {k}), 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(g, {k}) + 1)]), 9) END AS ndcg_{k}''' for k in _KS)}
-FROM b LEFT JOIN h USING (result_id) GROUP BY b.result_id, b.system, b.example_id, g
+FROM b LEFT JOIN h USING (result_id) GROUP BY b.result_id, b.system, b.example_id, g, b.returned
 """
 _TOKENS = r"list_filter(regexp_split_to_array(regexp_replace(lower(regexp_replace(coalesce({0}, ''), '\[fact_[^\]]*\]', ' ', 'g')), '[!-/:-@\[-`{{-~]', '', 'g'), '\s+'), lambda w: w <> '' AND w NOT IN ('a', 'an', 'the'))"
 _F1 = f"""
@@ -51,7 +54,7 @@ _TERMS = r"regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+')"
 SQL = {
     "document_ids": "SELECT doc_id, 'doc_' || substr(sha256(coalesce(text, '')), 1, 16) AS content_id FROM documents",
     "split_partition": """
-WITH d AS (SELECT example_id, ('0x' || substr(sha256(example_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT DISTINCT example_id FROM benchmark_examples WHERE example_id IS NOT NULL))
+WITH d AS (SELECT example_id, ('0x' || substr(sha256(example_id), 1, 16))::UBIGINT::DOUBLE / 18446744073709551616.0::DOUBLE AS u FROM (SELECT DISTINCT example_id FROM benchmark_examples WHERE example_id IS NOT NULL))
 SELECT example_id, CASE WHEN u < 0.7 THEN 'train' WHEN u < 0.85 THEN 'validation' ELSE 'test' END AS part FROM d""",
     "section_split": r"""
 WITH l AS (SELECT doc_id, unnest(a) AS line, generate_subscripts(a, 1) AS pos FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE doc_id IS NOT NULL)),
@@ -108,7 +111,7 @@ SELECT system, metric, count(value) AS n, round(avg(value), 6) AS mean, round(st
 WITH f AS ({_F1}), e AS (SELECT example_id, system, avg(f1) AS f1 FROM f GROUP BY ALL),
 d AS (SELECT a.system AS system_a, b.system AS system_b, round(a.f1 - b.f1, 9) AS d FROM e a JOIN e b ON a.example_id = b.example_id AND a.system < b.system),
 g AS (SELECT system_a, system_b, count(d) AS n, avg(d) AS m, stddev_samp(d) AS sd FROM d GROUP BY ALL)
-SELECT system_a, system_b, n, round(m, 6) AS difference, round(CASE WHEN sd > 0 THEN m / sd END, 5) AS cohens_d FROM g""",
+SELECT system_a, system_b, n, round(m, 6) AS difference, round(CASE WHEN sd > 0 THEN m / sd WHEN m = 0 AND n > 1 THEN 0 END, 5) AS cohens_d FROM g""",
     "audit_counts": f"""
 WITH e AS (SELECT DISTINCT example_id FROM benchmark_examples WHERE example_id IS NOT NULL), r AS ({_RESULTS}),
 i AS (SELECT system, example_id, coalesce(max((status = 'success')::INT), 0) AS ok FROM r WHERE example_id IN (FROM e) GROUP BY ALL)
@@ -119,12 +122,14 @@ k AS (SELECT DISTINCT passage_id FROM passages WHERE passage_id IS NOT NULL)
 SELECT result_id, count(*) AS entries, count(passage_id) AS mapped, round(count(passage_id) / count(*)::DOUBLE, 6) AS coverage FROM u LEFT JOIN k ON u.p = k.passage_id GROUP BY ALL""",
     "canonical_entities": rf"""
 WITH u AS (SELECT example_id, unnest(bridge_entities) AS name FROM ({_EXAMPLES})),
-d AS (SELECT trim(regexp_replace(lower(name), '\s+', ' ', 'g')) AS entity, name, count(*) AS n FROM u WHERE regexp_matches(name, '\S') GROUP BY ALL)
-SELECT entity, min(name) AS canonical_name, count(*) AS aliases, sum(n)::BIGINT AS mentions FROM d GROUP BY ALL""",
+d AS (SELECT trim(regexp_replace(regexp_replace(lower(name), '[^\p{{L}}\p{{N}}\p{{M}}_\s+-]', ' ', 'g'), '\s+', ' ', 'g')) AS entity, name, min(example_id) AS seen, count(*) AS n FROM u WHERE regexp_matches(name, '\S') GROUP BY ALL)
+SELECT 'bridge' AS entity_type, entity, arg_min(name, {{'seen': seen, 'name': name}}) AS canonical_name, string_agg(name, '|' ORDER BY name) AS aliases, sum(n)::BIGINT AS mentions FROM d GROUP BY ALL""",
     "context_budget": f"""
 WITH d AS (SELECT example_id, passage_id, length(array_to_string(sentences, ' ')) AS size FROM ({_PASSAGES}) WHERE example_id IS NOT NULL),
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY example_id ORDER BY passage_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM d)
 SELECT example_id, passage_id, least(size, 1200 - before)::BIGINT AS used FROM b WHERE before < 1200""",
-    "limiter_window": "SELECT user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS requests, count(*) > 2 AS limited FROM events WHERE ts IS NOT NULL GROUP BY ALL",
-    "response_cache": "SELECT cache_key, count(*) AS writes, sha256(max(response)) AS digest FROM llm_responses WHERE cache_key IS NOT NULL GROUP BY ALL",
+    "events_per_minute": "SELECT user_id, time_bucket(INTERVAL 60 SECOND, ts) AS window_start, count(*) AS requests, count(*) > 2 AS many FROM events WHERE ts IS NOT NULL GROUP BY ALL",
+    "first_responses": """
+WITH r AS (SELECT *, row_number() OVER (PARTITION BY cache_key ORDER BY created_at NULLS LAST, response NULLS FIRST) AS i, count(*) OVER (PARTITION BY cache_key) AS writes FROM llm_responses WHERE cache_key IS NOT NULL)
+SELECT cache_key, writes, sha256(response) AS digest FROM r WHERE i = 1""",
 }

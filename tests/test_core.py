@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_tokens, f1
-from factweave.operators import corpus, graph, limiter, ranking, scan, vectors
+from factweave.operators import corpus, graph, limiter, ranking, scan, stats, vectors
 from factweave.plans import queries
 
 
@@ -18,7 +18,12 @@ def _scores(spark, rows):
 def test_ranking_scores_count_repeats_once(spark):
     (row,) = _scores(spark, [(["a", "a", None, " ", "b"], ["a", "b"])])
     assert (row.recall_1, row.recall_3, row.mrr, row.ndcg_3) == (0.5, 1.0, 1.0, 1.0)
-    assert row.precision_20 == pytest.approx(0.1)
+    assert row.precision_20 == pytest.approx(0.1) and row.returned_precision_20 == 1.0 and (row.complete_1, row.complete_3) == (0.0, 1.0)
+
+
+def test_mrr_stops_at_20(spark):
+    (row,) = _scores(spark, [([f"x{i}" for i in range(20)] + ["a"], ["a"])])
+    assert row.mrr == row.mrr_20 == 0.0 and row.returned_precision_20 == 0.0
 
 
 def test_ranking_scores_without_gold_or_ranking(spark):
@@ -37,7 +42,7 @@ def test_answer_f1(spark, answer, gold, want):
 
 
 def test_holm(spark):
-    d = ranking.holm(spark.createDataFrame([("a", 0.01), ("b", 0.03), ("c", 0.2)], "k string, p double"), "p", "k", "q")
+    d = stats.holm(spark.createDataFrame([("a", 0.01), ("b", 0.03), ("c", 0.2)], "k string, p double"), "p", "k", "q")
     assert {r.k: round(r.q, 6) for r in d.collect()} == {"a": 0.03, "b": 0.06, "c": 0.2}
 
 
