@@ -136,7 +136,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     each = cut(pairs.pairs_of(table(spark, folder, "baseline_results"), table(spark, folder, "benchmark_examples"), table(spark, folder, "llm_responses")))
     languages = language.Bayes().fit(language.labelled_sample(table(spark, folder, "documents")))
-    return pairs.defects(each, languages, pairs.end_counts(each))
+    return pairs.defects(each, languages, cut(pairs.word_counts(each)))
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p3_copies": p3_copies, "p4_found": p4_found, "p4_report": p4_report, "p4_sample": p4_sample, "p5_found": p5_found, "p6_found": p6_found, "p6_leaks": p6_leaks, "p7_found": p7_found, "p7_report": p7_report, "p7_mix": p7_mix, "p8_found": p8_found, "p8_segments": p8_segments}

@@ -282,49 +282,44 @@ def test_defects(spark, model):
     cases = [(None, "empty"), ("[fact_1] …", "empty"), ("N/A", "empty"), ("Q: " + q, "echo"), ("I'm sorry, but I cannot answer.", "refusal"), (DE[1], "language"), (EN[0][:-1], None), (EN[2], None), ("The seed bank limits the", "truncated"), ("yes", None), ('{"answer": "N/A"}', "empty"), ('```json\n{"answer": "The seed bank lim', "truncated")]
     body = [("result", f"b{i}", q, EN[i % 3] if i % 7 else EN[i % 3][:-1]) for i in range(90)] + [("result", f"g{i}", "Was sagt das Register über die Prüfung der Saatgutbank?", DE[i % 3]) for i in range(30)]
     d = spark.createDataFrame(body + [("result", str(i), q, a) for i, (a, _) in enumerate(cases)], "kind string, record_id string, question string, answer string")
-    got = {r.record_id: r.defect for r in pairs.defects(d, model[1], pairs.end_counts(d)).collect()}
+    got = {r.record_id: r.defect for r in pairs.defects(d, model[1], pairs.word_counts(d).cache()).collect()}
     assert [got.get(str(i)) for i in range(len(cases))] == [w for _, w in cases]
     assert not [k for k in got if not k.isdigit()]
 
 
-def test_counts_of_ends_equal_contexts_word_by_word():
-    texts = ["", "Yes", "The cache is warm. It holds", "缓存命中率很高。命中后返回", "... 1998, ok? no", "สวัสดี ok แล้ว"]
-    common = np.zeros(pairs.SLOTS, bool)
-    common[[pairs._hash(w) for w in ("the", "is", "it", "ok")]] = True
-    known = pairs._Shapes(common)
-    ends, seen, want_e, want_n = (np.zeros(pairs.SLOTS, np.int64) for _ in range(4))
-    numbers = []
+def _word_by_word(texts, common):
+    """Counts of ends and occurrences of every context, from _context_hashes alone."""
+    want = {}
     for t in texts:
-        numbers += [0, *map(known.__getitem__, pairs._tokens(t))]
         words = pairs._shape(pairs._tokens(t), common)
-        hashes = [pairs._word_hash(w) for w in words]
         for i, w in enumerate(words):
-            if w[0] not in pairs._STOP:
-                c = pairs._contexts(words, hashes, i)
-                np.add.at(want_n, c, 1)
-                if i + 1 == len(words) or words[i + 1][0] in pairs._STOP:
-                    np.add.at(want_e, c, 1)
-    pairs._count_ends(np.array(numbers), known, ends, seen)
-    pairs._count_ends(np.empty(0, np.int64), known, ends, seen)
-    assert (seen == want_n).all() and (ends == want_e).all() and seen.sum() > 0
+            if w[0] in pairs._STOP:
+                continue
+            marked, end = i + 1 < len(words) and words[i + 1][0] in pairs._STOP, i + 1 == len(words)
+            for c, own in pairs._context_hashes(words, [pairs._word_hash(x) for x in words], i, pairs._is_open(words[: i + 1])):
+                if own or not end:
+                    c -= (c >> 63) << 64
+                    e, n = want.get(c, (0, 0))
+                    want[c] = e + (marked or end), n + 1
+    return want
 
 
 def test_contexts_are_counted_apart_however_many(spark):
     r = random.Random(4)
     texts = [" ".join(chr(0x2200 + r.randrange(200)) for _ in range(r.randrange(5))) for _ in range(3000)]
+    texts += ["", "Yes", "The cache is warm. It holds", "缓存命中率很高。命中后返回", "... 1998, ok? no", "สวัสดี ok แล้ว", "a (b {c d) e} f (g", "is it (ok) the"]
     d = spark.createDataFrame([(t,) for t in texts], "answer string")
-    common, counts = pairs.end_counts(d)
-    got = {r.context: (r.e, r.n) for r in counts.collect()}
-    want = {}
-    for t in texts:
-        words = pairs._shape(pairs._tokens(t), common)
-        for i in range(len(words)):
-            for c in pairs._context_hashes(words, [pairs._word_hash(w) for w in words], i):
-                c -= (c >> 63) << 64
-                e, n = want.get(c, (0, 0))
-                want[c] = e + (i + 1 == len(words)), n + 1
-    slots = {(c & 2**64 - 1) >> 20 & pairs.SLOTS - 1 for c in got}
-    assert got == want and len(slots) < len(got)  # some would share a slot of a fixed table
+    common = frozenset(["the", "is", "it", "ok"])
+    got = {r.context: (r.e, r.n) for r in pairs.end_counts(d, common).collect()}
+    assert got == _word_by_word(texts, common)
+
+
+def test_words_cut_short_end_less_often_than_they_begin(spark):
+    d = spark.createDataFrame([("evaporation",)] * 9 + [("evapor x",), ("zephyr",), (None,), ("x" * 100_000,)], "answer string")
+    words = pairs.word_counts(d).cache()
+    got = {r.word: (r.ends, r.begins) for r in pairs.word_ends(words).collect()}
+    assert got == {"evaporation": (9, 9), "evapor": (1, 10), "x": (1, 1), "zephyr": (1, 1)}
+    assert pairs.common_words(words, 13) == {"evaporation"}
 
 
 def test_language_path_is_the_cheapest():
