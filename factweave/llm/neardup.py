@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import functools
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -75,6 +76,11 @@ def plan(records: int, least: float) -> tuple[int, int]:
 _UNSPACED = "฀-๿㐀-䶿一-鿿豈-﫿぀-ヿ々ー"
 
 
+# characters beyond Latin and Cyrillic letters and common marks: without any, the standard patterns are enough
+_BEYOND = re.compile("[\u0300-\u03ff\u0483-\u0489\u0530-\u1fff\u2070-\U0010ffff]")
+_PLAIN = re.compile(r"[^\W_]+")
+
+
 @functools.cache
 def _word_pattern():
     import regex
@@ -88,9 +94,12 @@ def words(text: str) -> list[str]:
     In unbroken runs of Thai, Chinese or Japanese script every three consecutive
     characters are a word; a shorter run is one word.
     """
+    low = text.lower()
+    if not _BEYOND.search(low):
+        return _PLAIN.findall(low)
     run, unspaced = _word_pattern()
     out = []
-    for w in run.findall(text.lower()):
+    for w in run.findall(low):
         if w.isascii():
             out.append(w)
             continue
