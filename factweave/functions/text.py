@@ -139,3 +139,63 @@ def grounded(texts: pd.Series, quotes: pd.Series) -> pd.Series:
         return m.group() if m else None
 
     return pd.Series([find(t, q) for t, q in zip(texts, quotes)], dtype=object)
+
+
+def entity_text(name: Column, description: Column) -> Column:
+    """``name. description``, or what there is of it."""
+    return F.trim(F.concat(F.coalesce(name, F.lit("")), F.lit(". "), F.coalesce(description, F.lit(""))))
+
+
+def ratio(a: Column, b: Column) -> Column:
+    """a / b; 0 where b is 0 or null."""
+    return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
+
+
+def seconds(milliseconds: Column) -> Column:
+    return milliseconds / 1000.0
+
+
+def export_id(passage: Column, index: Column) -> Column:
+    """The id of a passage's sentence in a suite."""
+    return F.concat(F.lit("fact_"), F.substring(F.sha2(F.concat_ws(":", passage, index), 256), 1, 16))
+
+
+def derived_seed(c: Column) -> Column:
+    """The first 64 bits of the SHA-256 as a whole number (decimal digits; they may exceed a signed 64-bit integer)."""
+    return F.conv(F.substring(F.sha2(c, 256), 1, 16), 16, 10)
+
+
+def without_labels(answer: Column, labels: Column) -> Column:
+    """The answer with every ``[label]`` as a blank, longer labels first; null labels are left out."""
+    each = F.array_sort(F.transform(F.array_distinct(F.array_compact(F.coalesce(labels, F.array().cast("array<string>")))), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x"))))
+    return F.aggregate(each, F.coalesce(answer, F.lit("")), lambda a, x: F.replace(a, F.concat(F.lit("["), x["x"], F.lit("]")), F.lit(" ")))
+
+
+def qualifiers(v: Column) -> Column:
+    """A VARIANT object as a map of text: keys as by slug, nulls kept, true and false, numbers and text that is not blank; the rest is left out."""
+    held = F.map_filter(v.cast("map<string,variant>"), lambda k, x: F.coalesce(~F.schema_of_variant(x).rlike("^(OBJECT|ARRAY)") & (F.coalesce(F.try_variant_get(x, "$", "string"), F.lit("null")).rlike(r"\S")), F.lit(True)))
+    each = F.transform(F.map_entries(held), lambda e: F.struct(slug(e["key"], "qualifier").alias("key"), F.trim(F.try_variant_get(e["value"], "$", "string")).alias("value")))
+    return F.map_from_entries(each)
+
+
+@pandas_udf(ArrayType(StringType()))
+def cut_at_sentences(texts: pd.Series, most: pd.Series) -> pd.Series:
+    """A text in parts of at most ``most`` characters, cut after the last line break or ``. `` that fits, else where the space ends."""
+
+    def cut(t: str | None, n: int) -> list[str]:
+        out, at = [], 0
+        while t and at < len(t):
+            end = min(len(t), at + n)
+            if end < len(t):
+                stop = max(t.rfind("\n", at, end), t.rfind(". ", at, end))
+                end = stop + 1 if stop > at else end
+            out.append(t[at:end])
+            at = end
+        return [x.strip() for x in out if x.strip()]
+
+    return pd.Series([cut(t, n) for t, n in zip(texts, most)])
+
+
+def answer_prompt(question: Column, context: Column) -> Column:
+    """What a generator is asked: to answer from the evidence alone and cite it."""
+    return F.concat(F.lit("Answer the question from the evidence below only, and cite the evidence you use as [fact_id].\n\nQuestion: "), question, F.lit("\n\nEvidence:\n"), F.coalesce(context, F.lit("")))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from factweave import api
 from factweave.functions import text
 from factweave.operators import corpus, external, facts, ranking
 from factweave.plans.common import EXAMPLES, PASSAGES, examples, once, passages
@@ -123,8 +124,33 @@ def chunk_ids(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("section_id", "chunk_no", text.short_id("chunk", F.concat_ws(":", "section_id", "chunk_no")).alias("chunk_id"), F.sha2(F.array_join("tokens", " "), 256).alias("digest"))
 
 
+def derived_seeds(spark: SparkSession, folder: str) -> DataFrame:
+    """A seed for every data set, and how many examples it has."""
+    d = examples(spark, folder).groupBy(text.category_key(F.col("dataset")).alias("dataset")).agg(F.count(F.lit(1)).alias("examples")).where(F.col("dataset").isNotNull())
+    return d.select("dataset", "examples", text.derived_seed(F.concat(F.lit("42:"), "dataset")).alias("seed"))
+
+
+def export_ids(spark: SparkSession, folder: str) -> DataFrame:
+    d = _facts(spark, folder)
+    return d.select("passage_id", "sentence_index", text.export_id(F.col("passage_id"), F.col("sentence_index")).alias("fact_id"))
+
+
+def record_order(spark: SparkSession, folder: str) -> DataFrame:
+    """The place of every result among its example's, by system and time."""
+    r = once(table(spark, folder, "baseline_results"), "result_id")
+    w = W.partitionBy("example_id").orderBy("system", "finished_at", "result_id")
+    return r.select("example_id", "result_id", F.row_number().over(w).alias("place"))
+
+
+def retrieved_contexts(spark: SparkSession, folder: str) -> DataFrame:
+    """From a question to its context: facts of sentences, BM25 over them, the 12 best as a prompt shows them."""
+    index = api.build_index(api.Corpus.of(passages(spark, folder)))
+    q = table(spark, folder, "eval_items").where(F.col("item_id") % 20 == 0).select(F.col("item_id").alias("query_id"), F.col("question").alias("text"))
+    return api.contexts(index, api.retrieve(index, q))
+
+
 QUERIES = {f.__name__: f for f in (
-    sentence_facts, fact_verbalize, fact_entities, fact_args_valid, gold_facts, multihop_filter, context_build, context_fit, batch_packing, suite_merge, reuse_audit, fact_dedup,
+    derived_seeds, export_ids, record_order, retrieved_contexts, sentence_facts, fact_verbalize, fact_entities, fact_args_valid, gold_facts, multihop_filter, context_build, context_fit, batch_packing, suite_merge, reuse_audit, fact_dedup,
     fixed_sample, stratified_sample, request_costs, repaired_answers, chunk_offsets, chunk_ids)}
 
 _KEY = r"nullif(regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '[\s_-]+', '_', 'g'), '')"
@@ -144,7 +170,20 @@ _WINDOWS = f"""
 t AS (SELECT section_id, regexp_extract_all(text, '{_TOKEN}') AS t FROM ({_SECTIONS})),
 w AS (SELECT section_id, t, unnest(range(0, greatest(0, ceil((len(t) - 32) / 24.0))::BIGINT + 1)) AS k FROM t WHERE len(t) > 0)"""
 
+_TERMS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
+
 SQL = {
+    "derived_seeds": f"WITH g AS (SELECT {_KEY.format('dataset')} AS dataset, count(*) AS examples FROM ({EXAMPLES}) GROUP BY ALL) SELECT dataset, examples, ('0x' || substr(sha256('42:' || dataset), 1, 16))::UBIGINT::VARCHAR AS seed FROM g WHERE dataset IS NOT NULL",
+    "export_ids": f"WITH {_FACTS} SELECT passage_id, i::INT AS sentence_index, 'fact_' || substr(sha256(passage_id || ':' || i), 1, 16) AS fact_id FROM f",
+    "record_order": "SELECT example_id, result_id, (row_number() OVER (PARTITION BY example_id ORDER BY system NULLS FIRST, finished_at NULLS FIRST, result_id))::INT AS place FROM (SELECT DISTINCT ON (result_id) * FROM baseline_results WHERE result_id IS NOT NULL)",
+    "retrieved_contexts": f"""
+WITH {_FACTS}, dt AS (SELECT fact_id, {_TERMS.format("concat_ws(' ', title, sentence)")} AS t FROM f), nn AS (SELECT count(*) AS n, avg(len(t)) AS avgdl FROM dt),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({_TERMS.format("question")}) AS term FROM eval_items WHERE item_id % 20 = 0),
+po AS (SELECT fact_id, len(t) AS dl, unnest(t) AS term FROM dt), tf AS (SELECT fact_id, dl, term, count(*) AS tf FROM po WHERE term IN (SELECT term FROM q) GROUP BY ALL), df AS (SELECT term, count(*) AS df FROM tf GROUP BY ALL),
+sc AS (SELECT query_id, fact_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM q JOIN tf USING (term) JOIN df USING (term), nn GROUP BY ALL),
+rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, fact_id) AS rank FROM sc),
+b AS (SELECT query_id, rank, '[Evidence ' || fact_id || ']' || chr(10) || 'Source: ' || title || ', ' || title || chr(10) || 'Fact: states' || chr(10) || 'Original text: ' || sentence AS b FROM rk JOIN f USING (fact_id) WHERE rank <= 12)
+SELECT query_id, count(*)::INT AS facts, string_agg(b, chr(10) || chr(10) ORDER BY rank) AS context FROM b GROUP BY ALL""",
     "sentence_facts": f"WITH {_FACTS} SELECT fact_id, chunk_id, passage_id, i::INT AS sentence_index, start_char, array_to_string([a.role || '=' || a.id FOR a IN args], '|') AS arguments FROM f",
     "fact_verbalize": f"WITH {_FACTS} SELECT fact_id, 'states: ' || array_to_string([a.role || '=' || a.name FOR a IN args], ', ') || '; example_id=' || example_id AS verbalized FROM f",
     "fact_entities": f"WITH {_FACTS}, u AS (SELECT fact_id, unnest(args) AS a FROM f) SELECT a.id AS entity_id, arg_min(a.name, {{'f': fact_id, 'n': a.name}}) AS name, count(DISTINCT fact_id) AS facts FROM u GROUP BY ALL",

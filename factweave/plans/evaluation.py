@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.functions.answers import answer_scores, answer_tokens, citation_ids, citation_status
+from factweave.functions import text
 from factweave.functions.text import category_key
 from factweave.operators import external, ranking, stats
 from factweave.plans.common import EXAMPLES, PASSAGES, RESULTS, examples, gold, once, passages, results
@@ -176,8 +177,54 @@ def validation_gates(spark: SparkSession, folder: str) -> DataFrame:
     return out
 
 
+def expected_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Every system at every example: its first result's scores. Missing, failed and unscorable results count 0 where there is gold."""
+    e = gold(spark, folder)
+    d = external.expected_results(results(spark, folder).select("system", "example_id", "result_id", "status", "answer", "citations", "document_ranking"), e, "result_id").join(e, "example_id")
+    d = ranking.ranking_scores(d, "document_ranking", "gold")
+    lost = ~F.coalesce(F.col("status") == "success", F.lit(False))
+    a, c = answer_scores(answer_tokens(F.col("answer")), F.col("references")), ranking.set_scores(F.col("citations"), F.col("gold"))
+    zero = lambda x: F.round(F.when(lost & x.isNotNull(), 0.0).otherwise(x), 6)
+    named = {"passage_recall_5": F.col("recall_5"), "passage_ndcg_5": F.col("ndcg_5"), "answer_f1": a["f1"], "citation_f1": c["f1"], "joint_f1": ranking.joint(a, c)["f1"]}
+    return d.select("system", "example_id", "status", *[zero(x).alias(k) for k, x in named.items()])
+
+
+def metric_categories(spark: SparkSession, folder: str) -> DataFrame:
+    """Means of the expected scores, by the part of the work that a metric measures."""
+    names = ["passage_recall_5", "passage_ndcg_5", "answer_f1", "citation_f1", "joint_f1"]
+    d = expected_scores(spark, folder).unpivot(["system"], names, "metric", "value")
+    part = F.when(F.col("metric").startswith("passage"), "retrieval").when(F.col("metric").startswith("citation"), "evidence").otherwise("generation")
+    return d.groupBy("system", part.alias("category"), "metric").agg(F.count("value").alias("n"), F.round(F.avg("value"), 6).alias("mean"))
+
+
+def known_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """Answers without the labels of their citations and of the example's passages."""
+    p = passages(spark, folder).groupBy("example_id").agg(F.concat(F.collect_set("passage_id"), F.collect_set("title")).alias("labels"))
+    r = results(spark, folder).select("result_id", "example_id", "answer", "citations").join(p, "example_id", "left")
+    labels = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("citations", "labels")])
+    return r.select("result_id", text.without_labels(F.col("answer"), labels).alias("bare"))
+
+
+def marked_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages by where an answer first names the first word of their title."""
+    p = passages(spark, folder).select("example_id", F.col("passage_id").alias("document_id"), F.substring_index("title", " ", 1).alias("marker"))
+    return external.marked_ranking(results(spark, folder).select("result_id", "example_id", F.col("answer").alias("text")), p)
+
+
+def evidence_units(spark: SparkSession, folder: str) -> DataFrame:
+    """Sources of the ranked passages in first-seen order, unknown passages kept at their places."""
+    d = external_rankings(spark, folder).withColumnRenamed("candidate", "fact_id")
+    return external.units_of(d, passages(spark, folder).select(F.col("passage_id").alias("fact_id"), F.col("source_uri").alias("unit")), "__unmapped_fact__:")
+
+
+def throughput(spark: SparkSession, folder: str) -> DataFrame:
+    """Seconds a result by system, and the hours that 1000 examples would take."""
+    d = results(spark, folder).groupBy("system").agg(F.count(F.lit(1)).alias("n"), *[F.round(F.sum(c), 3).alias(c) for c in ("indexing_seconds", "retrieval_seconds", "total_seconds")])
+    return d.select("*", F.round(text.ratio(F.col("total_seconds"), F.col("n")), 6).alias("each"), F.round(text.ratio(F.col("total_seconds") * 1000, F.col("n") * 3600), 6).alias("hours_per_1000"))
+
+
 QUERIES = {f.__name__: f for f in (
-    answer_tuples, set_scores, official_joint, cited_facts, citation_states, holm_pairs, bootstrap_ci, randomization_p, run_collapse, run_variation, failure_rates, latency,
+    expected_scores, metric_categories, known_labels, marked_documents, evidence_units, throughput, answer_tuples, set_scores, official_joint, cited_facts, citation_states, holm_pairs, bootstrap_ci, randomization_p, run_collapse, run_variation, failure_rates, latency,
     external_rankings, external_coverage, external_audit, protocol_contract, resume_antijoin, validation_gates)}
 
 _PAIRS = f"""
@@ -195,7 +242,29 @@ m AS (SELECT result_id, pos, coalesce(p.passage_id, t.i, CASE WHEN coalesce(entr
 f AS (SELECT result_id, candidate, min(pos) AS pos FROM m GROUP BY ALL),
 x AS (SELECT result_id, (row_number() OVER (PARTITION BY result_id ORDER BY pos))::INT AS rank, candidate FROM f)""".replace("\\\\", "\\")
 
+_EXPECTED = f"""
+WITH y AS (SELECT DISTINCT system FROM ({RESULTS}) WHERE system IS NOT NULL), w AS (SELECT e.example_id, e.g, y.system FROM ({_GOLD}) e, y),
+f AS (SELECT w.*, r.result_id, CASE WHEN r.result_id IS NULL THEN 'missing' ELSE r.status END AS status FROM w LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY system, example_id ORDER BY result_id) AS i FROM ({RESULTS})) WHERE i = 1) r USING (system, example_id)),
+v AS (SELECT result_id, p, min(pos) AS pos FROM (SELECT result_id, unnest(document_ranking) AS p, generate_subscripts(document_ranking, 1) AS pos FROM ({RESULTS})) WHERE p IS NOT NULL AND regexp_matches(p, '\\S') GROUP BY ALL),
+k AS (SELECT result_id, p, row_number() OVER (PARTITION BY result_id ORDER BY pos) AS pos FROM v),
+h AS (SELECT f.result_id, count(*) AS n, sum(1 / log2(k.pos + 1)) AS d FROM f JOIN k ON k.result_id = f.result_id WHERE k.pos <= 5 AND list_contains(f.g, k.p) GROUP BY ALL),
+z AS (SELECT f.system, f.example_id, f.status, f.status IS DISTINCT FROM 'success' AS lost, len(f.g) AS g, h.n, h.d, a.s.f1 AS af, a.s.precision AS ap, a.s.recall AS ar, s.f1 AS sf, s.precision AS sp, s.recall AS sr FROM f LEFT JOIN h USING (result_id) LEFT JOIN ({_ANSWERS}) a USING (result_id) LEFT JOIN ({_SETS}) s USING (result_id)),
+x AS (SELECT system, example_id, status, CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 ELSE round(coalesce(n, 0) / g::DOUBLE, 6) END END AS passage_recall_5,
+  CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 ELSE round(round(coalesce(d, 0) / list_sum([1 / log2(i + 1) FOR i IN range(1, least(g, 5) + 1)]), 9), 6) END END AS passage_ndcg_5, CASE WHEN lost THEN 0 ELSE round(af, 6) END AS answer_f1,
+  CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 ELSE round(sf, 6) END END AS citation_f1, CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 WHEN ap * sp + ar * sr > 0 THEN round(2 * ap * sp * ar * sr / (ap * sp + ar * sr), 6) ELSE 0 END END AS joint_f1 FROM z)"""
+
 SQL = {
+    "expected_scores": f"{_EXPECTED} SELECT * FROM x",
+    "metric_categories": f"{_EXPECTED}, u AS (SELECT system, metric, value FROM x UNPIVOT INCLUDE NULLS (value FOR metric IN (passage_recall_5, passage_ndcg_5, answer_f1, citation_f1, joint_f1))) SELECT system, CASE WHEN metric LIKE 'passage%' THEN 'retrieval' WHEN metric LIKE 'citation%' THEN 'evidence' ELSE 'generation' END AS category, metric, count(value) AS n, round(avg(value), 6) AS mean FROM u GROUP BY ALL",
+    "known_labels": f"""
+WITH p AS (SELECT example_id, list(passage_id) || list(title) AS l FROM ({PASSAGES}) GROUP BY ALL),
+r AS (SELECT result_id, coalesce(answer, '') AS answer, list_sort(list_distinct([{{'n': -length(x), 'x': x}} FOR x IN list_filter(coalesce(citations, []) || coalesce(l, []), lambda y: y IS NOT NULL)])) AS l FROM ({RESULTS}) LEFT JOIN p USING (example_id))
+SELECT result_id, list_reduce(list_prepend(answer, [x.x FOR x IN l]), lambda a, x: replace(a, '[' || x || ']', ' ')) AS bare FROM r""",
+    "marked_documents": f"""
+WITH d AS (SELECT r.result_id, p.passage_id AS document_id, min(strpos(r.answer, split_part(p.title, ' ', 1))) AS seen FROM ({RESULTS}) r JOIN ({PASSAGES}) p USING (example_id) WHERE split_part(p.title, ' ', 1) <> '' AND strpos(r.answer, split_part(p.title, ' ', 1)) > 0 GROUP BY ALL)
+SELECT result_id, document_id, (row_number() OVER (PARTITION BY result_id ORDER BY seen, document_id))::INT AS rank FROM d""",
+    "evidence_units": f"WITH {_RANKING}, q AS (SELECT passage_id, source_uri FROM p), g AS (SELECT result_id, coalesce(source_uri, '__unmapped_fact__:' || candidate) AS unit, min(rank) AS first FROM x LEFT JOIN q ON q.passage_id = candidate GROUP BY ALL) SELECT result_id, (row_number() OVER (PARTITION BY result_id ORDER BY first, unit))::INT AS rank, unit FROM g",
+    "throughput": f"WITH g AS (SELECT system, count(*) AS n, round(sum(indexing_seconds), 3) AS indexing_seconds, round(sum(retrieval_seconds), 3) AS retrieval_seconds, round(sum(total_seconds), 3) AS total_seconds FROM ({RESULTS}) GROUP BY ALL) SELECT *, round(coalesce(total_seconds / n, 0), 6) AS each, round(coalesce(total_seconds * 1000 / (n * 3600), 0), 6) AS hours_per_1000 FROM g",
     "answer_tuples": f"SELECT result_id, system, example_id, round(s.em, 6) AS em, round(s.precision, 6) AS precision, round(s.recall, 6) AS recall, round(s.f1, 6) AS f1 FROM ({_ANSWERS})",
     "set_scores": f"SELECT result_id, system, example_id, round(em, 6) AS em, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM ({_SETS})",
     "official_joint": f"""

@@ -136,3 +136,37 @@ def test_packing_is_greedy(spark):
                 no, used = no + 1, 0
             used, held = used + (n or 0), True
             assert got[g, i] == no
+
+
+def test_candidates_of_any_form(spark):
+    import json
+
+    p = spark.createDataFrame([("e", "p1", "Result", 0), ("e", "p2", "Mechanism", 1), ("x", "p3", "Result", 0)], "example_id string, passage_id string, title string, pos int")
+    records = [
+        {"ranking": ["Result", "p2"]}, {"ranking": [1, {"index": 0}, {"id": "zz"}]}, {"contexts": [], "ranking": ["p1"]}, {"ranking": None, "contexts": ["p1"]}, {"other": 1},
+        {"ranking": [{"community_id": "c", "sources": [{"title": "Mechanism"}, {"passages": ["p1", "nope"]}]}, {"entity_id": "e9", "chunks": ["nope"]}, "p2"]}, {"ranking": "p2"},
+    ]
+    d = spark.createDataFrame([(i, "e", json.dumps(r)) for i, r in enumerate(records)], "result_id int, example_id string, v string").select("result_id", "example_id", F.parse_json("v").alias("raw"))
+    d = external.declared(d, ["contexts", "ranking"])
+    assert [r.declared for r in d.orderBy("result_id").collect()] == [True, True, True, True, False, True, True]
+    got = {}
+    for r in external.mapped_candidates(d, p).orderBy("result_id", "rank").collect():
+        got.setdefault(r.result_id, []).append(r.candidate)
+    assert got == {0: ["p1", "p2"], 1: ["p2", "p1", "__unmapped__:zz"], 3: ["p1"], 5: ["p2", "p1", "__unmapped__:e9"], 6: ["p2"]}
+
+
+def test_units_and_marked_documents(spark):
+    r = spark.createDataFrame([(1, "f1", 1), (1, "f2", 2), (1, "f3", 3), (1, "zz", 4)], "result_id int, fact_id string, rank int")
+    u = spark.createDataFrame([("f1", "b"), ("f2", "a"), ("f3", "b")], "fact_id string, unit string")
+    assert [(x["rank"], x.unit) for x in external.units_of(r, u).orderBy("rank").collect()] == [(1, "b"), (2, "a")]
+    assert [x.unit for x in external.units_of(r, u, "__unmapped_fact__:").orderBy("rank").collect()] == ["b", "a", "__unmapped_fact__:zz"]
+    t = spark.createDataFrame([(1, "e", "see [d2] then [d1]"), (2, "e", None)], "result_id int, example_id string, text string")
+    m = spark.createDataFrame([("e", "d1", "[d1]"), ("e", "d2", "[d2]"), ("e", "d3", "[d3]"), ("e", "d4", "")], "example_id string, document_id string, marker string")
+    assert [tuple(x) for x in external.marked_ranking(t, m).orderBy("rank").collect()] == [(1, "d2", 1), (1, "d1", 2)]
+
+
+def test_every_system_has_every_example(spark):
+    r = spark.createDataFrame([("s", "a", 2, "failed"), ("s", "a", 1, "success"), ("t", "b", 3, "success")], "system string, example_id string, result_id int, status string")
+    d = external.expected_results(r, spark.createDataFrame([("a",), ("b",)], "example_id string"), "result_id")
+    assert sorted((x.system, x.example_id, x.status) for x in d.collect()) == [("s", "a", "success"), ("s", "b", "missing"), ("t", "a", "missing"), ("t", "b", "success")]
+    assert external.expected_results(r.limit(0), spark.createDataFrame([("a",)], "example_id string"), "result_id").count() == 0

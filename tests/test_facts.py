@@ -151,3 +151,35 @@ def test_rerank_and_path_by_hops(spark):
     assert got == {("q", "f3"): (1.0, 1), ("q", "f4"): (1.0, 2), ("q", "f1"): (0.95, 3), ("q", "f5"): (0.55, 4), ("q", "lost"): (0.4, 5), ("r", "f4"): (1.0, 1)}
     path = {r.query_id: r.path for r in graph.best_path(hits, edges).collect()}
     assert path == {"q": ["f1", "a", "f2", "b", "f3"], "r": ["f4"]}
+
+
+def test_labels_qualifiers_and_cuts(spark):
+    d = spark.createDataFrame([("x [ab] y [a] [b]", ["a", "ab", None, "a"]), (None, None)], "t string, l array<string>")
+    assert [r[0] for r in d.select(text.without_labels(F.col("t"), F.col("l"))).collect()] == ["x   y   [b]", ""]
+    q = spark.createDataFrame([('{"Time Span": " 1998 ", "n": 2.5, "ok": true, "none": null, "blank": " ", "deep": {"a": 1}, "list": [1]}',)], "v string").select(text.qualifiers(F.parse_json("v")).alias("q")).first().q
+    assert q == {"time_span": "1998", "n": "2.5", "ok": "true", "none": None}
+    c = spark.createDataFrame([("One two. Three four. Five", 12), ("abcdefgh", 3), (None, 3), ("", 3)], "t string, n int").select(text.cut_at_sentences("t", "n").alias("c")).collect()
+    assert [r.c for r in c] == [["One two.", "Three four.", "Five"], ["abc", "def", "gh"], [], []]
+    e = spark.createDataFrame([("A", "b", 1, 0), (None, None, 1, 4)], "n string, d string, x int, y int").select(text.entity_text(F.col("n"), F.col("d")).alias("e"), text.ratio(F.col("x"), F.col("y")).alias("r")).collect()
+    assert [tuple(r) for r in e] == [("A. b", 0.0), (".", 0.25)]
+    assert _one(spark, "x", text.derived_seed) == str(int(hashlib.sha256(b"x").hexdigest()[:16], 16))
+
+
+def test_retrieval_from_passages_to_contexts(spark, tmp_path):
+    from factweave import api
+
+    p = spark.createDataFrame([("e", "p1", "Request Cache", ["A request cache reduces backend load.", "It is small."]), ("e", "p2", "Network", ["Congestion reduces availability."])], "example_id string, passage_id string, title string, sentences array<string>")
+    index = api.build_index(api.Corpus.of(p))
+    q = spark.createDataFrame([(1, "How does request caching reduce backend load?")], "query_id int, text string")
+    hits = api.retrieve(index, q, 3).cache()
+    best = hits.orderBy("rank").first()
+    (c,) = api.contexts(index, hits).collect()
+    assert c.context.startswith(f"[Evidence {best.fact_id}]\nSource: Request Cache, Request Cache\nFact: states\nOriginal text: A request cache")
+    assert [r.passage_id for r in api.passages(index, hits).orderBy("rank").collect()][0] == "p1"
+    assert api.retrieve(index, q, 3, hops=True).orderBy("rank").first().score == pytest.approx(best.score + 0.05 * (hits.count() - 1), abs=0.051)
+    r = spark.createDataFrame([("s", "e", ["p1"]), ("t", "e", ["p2"])], "system string, example_id string, ranking array<string>")
+    scores = api.evaluate(r, spark.createDataFrame([("e", ["p1"])], "example_id string, gold array<string>"))
+    summary = api.summarize(scores, ["recall_1", "mrr"]).cache()
+    assert {(x.system, x.metric): x["mean"] for x in summary.collect()} == {("s", "recall_1"): 1.0, ("s", "mrr"): 1.0, ("t", "recall_1"): 0.0, ("t", "mrr"): 0.0}
+    api.write_report(scores, summary, str(tmp_path), "R", {"Retrieval": ["recall_1"]})
+    assert "| s | 1.0000 [1.0000, 1.0000] (n=1) |" in [x.value for x in spark.read.text(str(tmp_path / "report.md")).collect()]
