@@ -82,7 +82,11 @@ def _abbreviation(text: str, dot: int, low: int) -> str | None:
 
 
 def _blocks(text: str, thai: bool) -> Iterator[tuple[int, int, bool]]:
-    """(start, end, whole) of each block; a whole block is one unit."""
+    """(start, end, whole) of each block; a whole block is one unit.
+
+    ``levels`` is a stack of the indents of open list items. A line that is indented beyond the innermost one and goes on
+    where the item left off is part of it; a line that is not closes the levels it does not reach.
+    """
     lines, at = [], 0
     for line in text.split("\n"):
         lines.append((at, line.rstrip()))
@@ -91,11 +95,16 @@ def _blocks(text: str, thai: bool) -> Iterator[tuple[int, int, bool]]:
     wraps = 55 <= width <= 100
     start = end = None
     before = ""
+    levels: list[int] = []
+    item: tuple[int, int, str] | None = None  # start, end and last line of the open item
     for at, line in lines:
         if not line.strip():
+            if item:
+                yield item[0], item[1], True
             if start is not None:
                 yield start, end, False
-            start, before = None, ""
+            start, before, item = None, "", None
+            levels.clear()
             continue
         body = line.lstrip("> \t") if line.startswith(">") else line
         head = bool(_HEAD.match(line))
@@ -103,19 +112,36 @@ def _blocks(text: str, thai: bool) -> Iterator[tuple[int, int, bool]]:
         full = start is not None and wraps and len(before) + 1 + len(first) > width - (2 if line.startswith(">") else 0)
         # a number or letter opens an item only where the line before was not full
         listed = bool(_LIST.match(line)) or not full and bool(_ITEM.match(line))
+        indent = len(line) - len(line.lstrip())
+        held = len(levels)
+        while levels and indent <= levels[-1]:
+            levels.pop()
+        if item:
+            if len(levels) == held and not head and not listed and (first[:1].islower() or item[2][-1:] not in ".!?…" + FULL):
+                item = item[0], at + len(line), line
+                continue
+            yield item[0], item[1], True
+            item = None
         joins = full and not head and not listed
         if start is not None and not head and not listed and first[:1].islower():
             joins = True
         if start is not None and not joins:
             yield start, end, False
             start = None
-        if (listed and not joins) or head:
+        if head:
             yield at, at + len(line), True
             start, before = None, ""
             continue
+        if listed and not joins:
+            levels.append(indent)
+            item = at, at + len(line), line
+            start, before = None, ""
+            continue
         if start is None:
             start = at
         end, before = at + len(line), line
+    if item:
+        yield item[0], item[1], True
     if start is not None:
         yield start, end, False
 

@@ -170,6 +170,8 @@ def test_unmet_quota_goes_to_siblings_before_cousins(spark):
         ('He said “Stop! Now.” and left. Then (so it is) he ran.', ['He said “Stop! Now.” and left.', "Then (so it is) he ran."]),
         ("第一句。第二句！", ["第一句。", "第二句！"]),
         ("- one item\n- two items\nNext line.", ["- one item", "- two items", "Next line."]),
+        ("- one item\n  goes on\n  - inner item\n    more\n  back in one\nOut.", ["- one item\n  goes on", "- inner item\n    more", "back in one", "Out."]),
+        ("* Done.\n  Next sentence here.", ["* Done.", "Next sentence here."]),
         ("यह पहला है। यह दूसरा है।", ["यह पहला है।", "यह दूसरा है।"]),
         ("", []), (None, []), (" \n", []),
     ],
@@ -335,7 +337,7 @@ def test_language_path_is_the_cheapest():
 def test_languages_by_script(model):
     names = lambda t: {language.LANGS[i] for i in language.written_in(t)}
     latin = {"en", "de", "fr", "es", "pt", "it"}
-    assert names("Ein Satz.") == latin == names("Prüfung") and names("это текст") == {"ru"} and names("实验 kiln") == {"zh", "ja"}
+    assert names("Ein Satz.") == latin == names("Prüfung") and names("это текст") == {"ru"} and names("实验实验 ab") == {"zh", "ja"}
     assert names("สวัสดี") == {"th"} and names("यह है") == {"hi"} and names("هذا نص") == {"ar"} and len(names("12 !")) == 12
     assert names("the kiln и это") == latin | {"ru"}
     whole, some = model[0].table(EN + DE), model[0].tables([(EN + DE, language.written_in(EN[0])), ([], [3])])
