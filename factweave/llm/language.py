@@ -133,7 +133,7 @@ class Compression:
                 else:
                     self._made.append(zstandard.ZstdCompressor(level=self.LEVEL, write_content_size=False))
         raw = [[t.lower().encode("utf-8", "replace") for t in texts] for texts, _ in documents]
-        out = [np.repeat([[16.0 + len(x)] for x in own], len(LANGS), axis=1) for own in raw]
+        out = [np.array([16.0 + len(x) for x in own])[:, None].repeat(len(LANGS), axis=1) for own in raw]
         asked = [set(langs) for _, langs in documents]
         for g, z in enumerate(self._made):
             compress = z.compress
