@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from factweave.operators.ranking import top
+from factweave.session import cut
 
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+TERMS = 10_000
 TERM = r"[\p{L}\p{N}_]+"
 
 
@@ -51,18 +53,29 @@ def placed_windows(docs: DataFrame, key: str, text: str, size: int = 512, overla
 def bm25(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.5, b: float = 0.75) -> DataFrame:
     """query_id, doc_id, score, rank: the k best documents of each query.
 
-    docs: doc_id, text. queries: query_id, text. Only the postings of query terms are shuffled.
-    Documents without terms score nothing; ties go to the smaller doc_id.
+    docs: doc_id, text. queries: query_id, text. Only the postings of query terms are shuffled: texts are read once, and what
+    is written of them is how long they are and how often they hold the terms that are asked for (an asked term
+    is looked up in the tasks while there are at most TERMS, and joined beyond). Documents without terms score nothing; ties go to the smaller doc_id.
     """
     low = lambda c: F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TERM), 0)
-    d = docs.select("doc_id", low(F.col("text")).alias("terms"))
-    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("terms")).alias("avgdl")).first()
     asked = queries.select("query_id", F.explode(F.array_distinct(low(F.col("text")))).alias("term"))
-    post = d.select("doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    post = post.join(asked.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    names = asked.select("term").distinct()
+    d = docs.select("doc_id", low(F.col("text")).alias("terms"))
+    known = [r.term for r in names.limit(TERMS + 1).collect()]
+    if len(known) <= TERMS:
+        d = d.select("doc_id", F.size("terms").alias("dl"), F.array_intersect("terms", F.lit(known) if known else F.array().cast("array<string>")).alias("held"), "terms")
+        d = d.select("doc_id", "dl", F.transform("held", lambda t: F.struct(t.alias("term"), F.size(F.filter("terms", lambda x: x == t)).alias("tf"))).alias("held"))
+    else:
+        each = d.select("doc_id", F.size("terms").alias("dl"), F.explode_outer("terms").alias("term"))
+        each = each.join(names.withColumn("asked", F.lit(1)), "term", "left").groupBy("doc_id", "dl", "term").agg(F.count("asked").alias("tf"))
+        d = each.groupBy("doc_id", "dl").agg(F.collect_list(F.when(F.col("tf") > 0, F.struct("term", F.col("tf").cast("int").alias("tf")))).alias("held"))
+    d = cut(d)
+    stats = d.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")).first()
+    post = d.select("doc_id", "dl", F.explode("held").alias("h")).select("doc_id", "dl", "h.term", "h.tf")
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log(1 + (stats.n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = asked.join(df, "term").withColumn("idf", idf).select("query_id", "term", "idf")
+    weights = asked.join(df.hint("merge"), "term").withColumn("idf", idf).select("query_id", "term", "idf")
+    weights = F.broadcast(weights) if asked.count() <= 10 * TERMS else weights.hint("merge")
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(stats.avgdl or 1.0)))
     scores = post.join(weights, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
     return top(scores, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)

@@ -144,6 +144,15 @@ def test_bm25_prefers_rare_terms(spark):
     assert [r.doc_id for r in rows] == [1, 2] and all(math.isfinite(r.score) for r in rows)
 
 
+def test_bm25_joins_where_many_terms_are_asked(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"t{(i * k) % 17}" for k in range(1, 9))) for i in range(40)] + [(90, None), (91, "")], "doc_id bigint, text string")
+    q = spark.createDataFrame([(1, "t1 t2 t5"), (2, "t3"), (3, ""), (4, None)], "query_id bigint, text string")
+    want = sorted(map(tuple, corpus.bm25(docs, q).collect()))
+    assert corpus.bm25(docs, q.where("query_id > 2")).count() == 0 and corpus.bm25(docs.limit(0), q).count() == 0
+    monkeypatch.setattr(corpus, "TERMS", 1)
+    assert sorted(map(tuple, corpus.bm25(docs, q).collect())) == want and {r[0] for r in want} == {1, 2}
+
+
 def test_running_sum_equals_a_window(spark):
     d = spark.range(500).select("id", (F.col("id") % 3).alias("g"), scan.shuffle_key(1, F.col("id")).alias("k"), F.col("id").alias("v"))
     got = scan.running_sum(d, ["g"], "k", "id", "v", "s").toPandas().sort_values(["g", "k", "id"])
