@@ -10,6 +10,7 @@ from factweave import api
 from factweave.functions import text
 from factweave.operators import corpus, external, facts, ranking
 from factweave.plans.common import EXAMPLES, PASSAGES, examples, once, passages
+from factweave.sinks import report
 from factweave.sources.tables import table
 
 
@@ -149,8 +150,31 @@ def retrieved_contexts(spark: SparkSession, folder: str) -> DataFrame:
     return api.contexts(index, api.retrieve(index, q))
 
 
+def _rows(spark: SparkSession, folder: str) -> DataFrame:
+    return report.canonical_rows(examples(spark, folder), _facts(spark, folder), passages(spark, folder).where(F.col("example_id").isNotNull()), "suite", 42)
+
+
+def suite_rows(spark: SparkSession, folder: str) -> DataFrame:
+    d = _rows(spark, folder)
+    n = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    return d.select("example_id", "answer", n("documents").alias("documents"), n("facts").alias("facts"), F.coalesce(F.array_join("gold_fact_ids", "|"), F.lit("")).alias("gold"))
+
+
+def suite_examples(spark: SparkSession, folder: str) -> DataFrame:
+    """Examples read back from the suite's rows."""
+    d = report.examples_of(_rows(spark, folder))
+    return d.select("example_id", F.size("passages").alias("passages"), F.size("supporting_facts").alias("supports"), F.aggregate("passages", F.lit(0), lambda n, p: n + F.size(p["sentences"])).alias("sentences"))
+
+
+def dataset_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether an example is taken up: hotpotqa with ten passages and two supporting titles, musique with two steps, others with two titles."""
+    d = multihop_filter(spark, folder).join(examples(spark, folder).select("example_id", "hop_count", F.replace(text.category_key(F.col("dataset")), F.lit("_"), F.lit("")).alias("name")), "example_id")
+    taken = F.when(F.col("name") == "hotpotqa", F.col("distractor")).when(F.col("name") == "musique", F.coalesce(F.col("hop_count") >= 2, F.lit(False))).otherwise(F.col("explicit"))
+    return d.select("example_id", "name", taken.alias("taken"))
+
+
 QUERIES = {f.__name__: f for f in (
-    derived_seeds, export_ids, record_order, retrieved_contexts, sentence_facts, fact_verbalize, fact_entities, fact_args_valid, gold_facts, multihop_filter, context_build, context_fit, batch_packing, suite_merge, reuse_audit, fact_dedup,
+    suite_rows, suite_examples, dataset_filter, derived_seeds, export_ids, record_order, retrieved_contexts, sentence_facts, fact_verbalize, fact_entities, fact_args_valid, gold_facts, multihop_filter, context_build, context_fit, batch_packing, suite_merge, reuse_audit, fact_dedup,
     fixed_sample, stratified_sample, request_costs, repaired_answers, chunk_offsets, chunk_ids)}
 
 _KEY = r"nullif(regexp_replace(regexp_replace(lower({0}), '^\s+|\s+$', '', 'g'), '[\s_-]+', '_', 'g'), '')"
@@ -172,7 +196,20 @@ w AS (SELECT section_id, t, unnest(range(0, greatest(0, ceil((len(t) - 32) / 24.
 
 _TERMS = r"regexp_extract_all(lower(coalesce({0}, '')), '[\p{{L}}\p{{N}}_]+')"
 
+_GOLD_FACTS = f"""
+{_FACTS}, nb AS (SELECT * FROM f WHERE regexp_matches(sentence, '\\S')), gx AS (SELECT example_id, unnest(supporting_facts) AS s, generate_subscripts(supporting_facts, 1) AS pos FROM ({EXAMPLES})),
+gf AS (SELECT gx.example_id, nb.fact_id, min(pos) AS pos FROM gx JOIN nb ON nb.example_id = gx.example_id AND nb.passage_id = gx.s.passage_id AND nb.i = gx.s.sentence_index GROUP BY ALL),
+gg AS (SELECT example_id, string_agg(fact_id, '|' ORDER BY pos) AS gold, count(*)::INT AS supports FROM gf GROUP BY ALL), fc AS (SELECT example_id, count(*)::INT AS facts FROM nb GROUP BY ALL),
+dc AS (SELECT example_id, count(*)::INT AS documents FROM ({PASSAGES}) WHERE example_id IS NOT NULL GROUP BY ALL)"""
+
 SQL = {
+    "suite_rows": f"WITH {_GOLD_FACTS} SELECT example_id, answer[1] AS answer, coalesce(documents, 0) AS documents, coalesce(facts, 0) AS facts, coalesce(gold, '') AS gold FROM ({EXAMPLES}) LEFT JOIN dc USING (example_id) LEFT JOIN fc USING (example_id) LEFT JOIN gg USING (example_id)",
+    "suite_examples": f"WITH {_GOLD_FACTS} SELECT example_id, coalesce(documents, 0) AS passages, coalesce(supports, 0) AS supports, coalesce(facts, 0) AS sentences FROM ({EXAMPLES}) LEFT JOIN dc USING (example_id) LEFT JOIN fc USING (example_id) LEFT JOIN gg USING (example_id)",
+    "dataset_filter": f"""
+WITH e AS ({EXAMPLES}), p AS ({PASSAGES}), s AS (SELECT DISTINCT example_id, s.passage_id AS passage_id FROM (SELECT example_id, unnest(supporting_facts) AS s FROM e)),
+t AS (SELECT s.example_id, count(DISTINCT title) AS titles FROM s JOIN p USING (passage_id) GROUP BY ALL), n AS (SELECT example_id, count(*) AS passages FROM p GROUP BY ALL),
+m AS (SELECT example_id, hop_count, replace({_KEY.format("dataset")}, '_', '') AS name, coalesce(titles, 0) >= 2 AS explicit, coalesce(passages, 0) = 10 AS ten FROM e LEFT JOIN t USING (example_id) LEFT JOIN n USING (example_id))
+SELECT example_id, name, CASE WHEN name = 'hotpotqa' THEN explicit AND ten WHEN name = 'musique' THEN coalesce(hop_count >= 2, false) ELSE explicit END AS taken FROM m""",
     "derived_seeds": f"WITH g AS (SELECT {_KEY.format('dataset')} AS dataset, count(*) AS examples FROM ({EXAMPLES}) GROUP BY ALL) SELECT dataset, examples, ('0x' || substr(sha256('42:' || dataset), 1, 16))::UBIGINT::VARCHAR AS seed FROM g WHERE dataset IS NOT NULL",
     "export_ids": f"WITH {_FACTS} SELECT passage_id, i::INT AS sentence_index, 'fact_' || substr(sha256(passage_id || ':' || i), 1, 16) AS fact_id FROM f",
     "record_order": "SELECT example_id, result_id, (row_number() OVER (PARTITION BY example_id ORDER BY system NULLS FIRST, finished_at NULLS FIRST, result_id))::INT AS place FROM (SELECT DISTINCT ON (result_id) * FROM baseline_results WHERE result_id IS NOT NULL)",

@@ -11,6 +11,7 @@ from factweave.functions import text
 from factweave.functions.text import category_key
 from factweave.operators import external, ranking, stats
 from factweave.plans.common import EXAMPLES, PASSAGES, RESULTS, examples, gold, once, passages, results
+from factweave.session import cut
 from factweave.sources.tables import table
 
 _CLOSED = "('yes', 'no', 'noanswer')"
@@ -223,8 +224,28 @@ def throughput(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("*", F.round(text.ratio(F.col("total_seconds"), F.col("n")), 6).alias("each"), F.round(text.ratio(F.col("total_seconds") * 1000, F.col("n") * 3600), 6).alias("hours_per_1000"))
 
 
+def paired_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """Every two systems by metric: examples, means, difference, its interval, effect, p-value, and this adjusted over all of them."""
+    v = _metrics(spark, folder)
+    d = cut(stats.pair_differences(v, "system", "example_id", "value", ["metric"]))
+    by = ["metric", "system_a", "system_b"]
+    each = d.groupBy(*by).agg(stats.cohens_d("d").alias("cohens_d"))
+    ci = stats.summarize(d, by, "example_id", "d").withColumnRenamed("mean", "difference").drop("sd")
+    p = stats.randomization_p(d, by, "example_id", permutations=1000)
+    out = ci.join(each, by).join(p, by).withColumn("k", F.concat_ws("|", *by))
+    return stats.holm(out, "p", "k", "adjusted").drop("k").withColumn("cohens_d", F.nanvl("cohens_d", F.lit(None).cast("double")))
+
+
+def normalized_citations(spark: SparkSession, folder: str) -> DataFrame:
+    """Citations of a result as passages of its example, by id or title, each once; how many map to none."""
+    r = results(spark, folder).select("result_id", "example_id", F.col("citations").alias("document_ranking"))
+    d = external.normalized_ranking(r, passages(spark, folder))
+    known = ~F.col("candidate").startswith(external.UNMAPPED)
+    return d.groupBy("result_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(known, F.struct("rank", "candidate")))), lambda x: x["candidate"]), "|").alias("mapped"), F.count_if(~known).alias("unmapped"))
+
+
 QUERIES = {f.__name__: f for f in (
-    expected_scores, metric_categories, known_labels, marked_documents, evidence_units, throughput, answer_tuples, set_scores, official_joint, cited_facts, citation_states, holm_pairs, bootstrap_ci, randomization_p, run_collapse, run_variation, failure_rates, latency,
+    paired_statistics, normalized_citations, expected_scores, metric_categories, known_labels, marked_documents, evidence_units, throughput, answer_tuples, set_scores, official_joint, cited_facts, citation_states, holm_pairs, bootstrap_ci, randomization_p, run_collapse, run_variation, failure_rates, latency,
     external_rankings, external_coverage, external_audit, protocol_contract, resume_antijoin, validation_gates)}
 
 _PAIRS = f"""
@@ -254,6 +275,7 @@ x AS (SELECT system, example_id, status, CASE WHEN g > 0 THEN CASE WHEN lost THE
   CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 ELSE round(sf, 6) END END AS citation_f1, CASE WHEN g > 0 THEN CASE WHEN lost THEN 0 WHEN ap * sp + ar * sr > 0 THEN round(2 * ap * sp * ar * sr / (ap * sp + ar * sr), 6) ELSE 0 END END AS joint_f1 FROM z)"""
 
 SQL = {
+    "normalized_citations": f"WITH {_RANKING.replace('document_ranking', 'citations')} SELECT result_id, coalesce(string_agg(candidate, '|' ORDER BY rank) FILTER (NOT starts_with(candidate, '__unmapped__:')), '') AS mapped, count(*) FILTER (starts_with(candidate, '__unmapped__:')) AS unmapped FROM x GROUP BY ALL",
     "expected_scores": f"{_EXPECTED} SELECT * FROM x",
     "metric_categories": f"{_EXPECTED}, u AS (SELECT system, metric, value FROM x UNPIVOT INCLUDE NULLS (value FOR metric IN (passage_recall_5, passage_ndcg_5, answer_f1, citation_f1, joint_f1))) SELECT system, CASE WHEN metric LIKE 'passage%' THEN 'retrieval' WHEN metric LIKE 'citation%' THEN 'evidence' ELSE 'generation' END AS category, metric, count(value) AS n, round(avg(value), 6) AS mean FROM u GROUP BY ALL",
     "known_labels": f"""

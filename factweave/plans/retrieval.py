@@ -127,8 +127,14 @@ def query_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return d.select("query_id", F.size("v").alias("places"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def internal_baselines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lexical and the dense channel alone: their first 10 facts of each query."""
+    d = _channels(spark, folder, 10).where(F.col("channel").isin("bm25", "dense"))
+    return d.select("query_id", F.col("channel").alias("method"), "object_id", "rank")
+
+
 QUERIES = {f.__name__: f for f in (
-    fact_candidates, band_fusion, ablation_matrix, best_per_fact, passage_max, fact_rerank, graph_rerank, shortest_path, vector_bands, band_gate, query_vectors)}
+    internal_baselines, fact_candidates, band_fusion, ablation_matrix, best_per_fact, passage_max, fact_rerank, graph_rerank, shortest_path, vector_bands, band_gate, query_vectors)}
 
 _EDGES = """
 i AS (SELECT 'c' || o_custkey AS e, 'o' || o_orderkey AS f FROM orders WHERE o_custkey IS NOT NULL AND o_orderkey IS NOT NULL UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem WHERE l_partkey IS NOT NULL AND l_orderkey IS NOT NULL AND l_discount IS NOT NULL),
@@ -175,6 +181,7 @@ cs AS (SELECT query_id, band, CASE WHEN sqrt(sum(v * v)) <= 1e-12 THEN -1 ELSE s
 ga AS (SELECT query_id, band, exp(c) / sum(exp(c)) OVER (PARTITION BY query_id) AS gate FROM cs)"""
 
 SQL = {
+    "internal_baselines": f"WITH {_CHANNELS} SELECT query_id, source AS method, fact_id AS object_id, rank::INT AS rank FROM c WHERE source IN ('bm25', 'dense') AND rank <= 10",
     "fact_candidates": f"WITH {_CHANNELS} {_TOP.format(_FUSED.format('1.0::DOUBLE', ''), 40)}",
     "band_fusion": f"WITH {_CHANNELS} {_TOP.format(_FUSED.format(_CASE, ''), 20)}",
     "ablation_matrix": f"WITH {_CHANNELS}, al AS ({_TOP.format(_FUSED.format('1.0::DOUBLE', ''), 20)}), m AS ("

@@ -28,6 +28,22 @@ def canonical_rows(examples: DataFrame, facts: DataFrame, passages: DataFrame, d
     return d.select(F.lit(dataset).alias("dataset"), F.lit(seed).alias("seed"), "example_id", "question", F.col("answer")[0].alias("answer"), F.slice("answer", 2, 1000).alias("answer_aliases"), "documents", "facts", "gold_fact_ids")
 
 
+def examples_of(rows: DataFrame) -> DataFrame:
+    """The inverse of canonical_rows: example_id, question, answer, passages, supporting_facts.
+
+    A passage's sentences are its document's facts in order, blank ones left out; supports are the places of the gold facts among them.
+    """
+    d = rows.withColumn("facts", F.coalesce("facts", F.array().cast(dict(rows.dtypes)["facts"]))).withColumn("documents", F.coalesce("documents", F.array().cast(dict(rows.dtypes)["documents"])))
+    own = lambda doc: F.filter("facts", lambda f: (f["document_id"] == doc["document_id"]) & f["text"].rlike(r"\S"))
+    passages = F.transform("documents", lambda doc: F.struct(doc["document_id"].alias("passage_id"), doc["title"].alias("title"), F.transform(own(doc), lambda f: f["text"]).alias("sentences")))
+    placed = F.flatten(F.transform("documents", lambda doc: F.transform(own(doc), lambda f, i: F.struct(f["fact_id"].alias("fact_id"), doc["document_id"].alias("passage_id"), i.alias("sentence_index")))))
+    d = d.withColumn("__p", placed)
+    gold = F.transform(F.coalesce("gold_fact_ids", F.array().cast("array<string>")), lambda g: F.get(F.filter("__p", lambda x: x["fact_id"] == g), F.lit(0)))
+    supports = F.transform(F.filter(gold, lambda x: x.isNotNull()), lambda x: F.struct(x["passage_id"].alias("passage_id"), x["sentence_index"].alias("sentence_index")))
+    answer = F.array_compact(F.concat(F.array("answer"), F.coalesce("answer_aliases", F.array().cast("array<string>"))))
+    return d.select("example_id", "question", answer.alias("answer"), passages.alias("passages"), supports.alias("supporting_facts"))
+
+
 def manifest(rows: DataFrame, key: str) -> DataFrame:
     """rows, ids_sha256: how many rows, and the SHA-256 of their sorted keys' SHA-256 sums added up (the same whatever their order)."""
     part = F.conv(F.substring(F.sha2(F.col(key).cast("string"), 256), 1, 15), 16, 10).cast("decimal(38,0)")

@@ -135,3 +135,17 @@ def test_coverage_needs_one_fact_with_all_names(spark):
     want = spark.createDataFrame([("k", 1, "Cache"), ("k", 1, "load"), ("k", 2, "Cache"), ("k", 2, "disk"), ("none", 1, "x")], "case string, fact int, name string")
     found = spark.createDataFrame([("k", "f1", ["request cache", "Load"]), ("k", "f2", ["disk"])], "case string, fact_id string, names array<string>")
     assert {r.case: (r.expected, r.covered) for r in extraction.coverage(want, found).collect()} == {"k": (2, 1), "none": (1, 0)}
+
+
+def test_suite_rows_read_back(spark):
+    doc = "array<struct<document_id:string,title:string,text:string>>"
+    fact = "array<struct<document_id:string,sentence_index:int,fact_id:string,text:string>>"
+    rows = [
+        ("e", "q?", "a", ["b"], [("p1", "T", ""), ("p2", "U", "")], [("p1", 0, "f0", "One."), ("p1", 1, "f1", " "), ("p1", 2, "f2", "Three."), ("p2", 0, "f3", "Other.")], ["f2", "f3", "gone", "f1"]),
+        ("n", "q", None, None, None, None, None),
+    ]
+    d = spark.createDataFrame(rows, f"example_id string, question string, answer string, answer_aliases array<string>, documents {doc}, facts {fact}, gold_fact_ids array<string>")
+    got = {r.example_id: r for r in report.examples_of(d).collect()}
+    e = got["e"]
+    assert e.answer == ["a", "b"] and [(p.passage_id, p.sentences) for p in e.passages] == [("p1", ["One.", "Three."]), ("p2", ["Other."])]
+    assert [(s.passage_id, s.sentence_index) for s in e.supporting_facts] == [("p1", 1), ("p2", 0)] and (got["n"].answer, got["n"].passages, got["n"].supporting_facts) == ([], [], [])
