@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 UNMAPPED = "__unmapped__:"
@@ -137,8 +139,6 @@ def mapped_candidates(rows: DataFrame, passages: DataFrame) -> DataFrame:
     """
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         for b in batches:
             out: list[tuple] = []
             for row, e, pos, text in zip(*(c.to_pylist() for c in b.columns)):
@@ -181,8 +181,6 @@ def marked_ranking(texts: DataFrame, documents: DataFrame) -> DataFrame:
 
     texts: result_id, example_id, text. documents: example_id, document_id, marker. A null or empty marker names nothing.
     """
-    from pyspark.sql import Window as W
-
     d = texts.join(documents.where(F.col("marker") != ""), "example_id").withColumn("at", F.expr("instr(text, marker)")).where(F.col("at") > 0)
     d = d.groupBy("result_id", "document_id").agg(F.min("at").alias("at"))
     return d.withColumn("rank", F.row_number().over(W.partitionBy("result_id").orderBy("at", "document_id"))).drop("at")

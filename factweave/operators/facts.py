@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from factweave.functions.text import compact, concepts, normalize_name, short_id
+from factweave.functions.text import concepts, normalize_name, short_id
 
 
 def sentence_facts(passages: DataFrame) -> DataFrame:
@@ -118,14 +119,8 @@ def fit_context(documents: DataFrame, group: str, rank: str, text: str, budget:
 
     A text has a token for every four characters begun, one at least. Null texts are left out.
     """
-    from pyspark.sql import Window as W
-
     d = documents.where(F.col(text).isNotNull()).withColumn("__t", F.greatest(F.lit(1), F.floor((F.length(text) + 3) / 4)))
     w = W.partitionBy(group).orderBy(rank).rowsBetween(W.unboundedPreceding, -1)
     d = d.withColumn("__left", F.lit(budget) - F.coalesce(F.sum("__t").over(w), F.lit(0))).where(F.col("__left") > 0)
     cut = F.when(F.col("__t") > F.col("__left"), F.expr(f"substring(`{text}`, 1, cast(__left * 4 as int))")).otherwise(F.col(text))
     return d.select(group, rank, cut.alias("kept"), F.least("__t", "__left").alias("tokens"))
-
-
-def squeezed(c: Column) -> Column:
-    return compact(F.coalesce(c, F.lit("")))
