@@ -94,7 +94,7 @@ def block_keys(prints: np.ndarray, radius: int, chars: bool) -> np.ndarray:
     return np.stack(out)
 
 
-def _signed(a: np.ndarray, kind: pa.DataType | None = None) -> pa.Array:
+def _signed(a: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(a).view(np.int64))
 
 
